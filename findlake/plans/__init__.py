@@ -4,7 +4,7 @@ from importlib import import_module
 
 from findlake.plans.registry import QUERIES, SQL
 
-MODULES = ("text_queries", "ledger_queries", "graph_queries", "module_queries")
+MODULES = ("text_queries", "ledger_queries", "graph_queries", "module_queries", "report_queries")
 
 
 def _load() -> None:
