@@ -11,6 +11,15 @@ from findlake.functions import fixed
 _SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+# Java's ``\\b`` follows Unicode letters before JDK 19; the patterns here mean ASCII words.
+_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    """The pattern with every ``\\b`` between ASCII word characters and anything else."""
+    return pattern.replace(r"\b", _BOUNDARY)
+
+
 def trim_space(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
 
@@ -43,12 +52,12 @@ def first_units(text: Column, limit: int) -> Column:
 def redact_known_tokens(text: Column) -> Column:
     """Every self-identifying credential replaced, one format after the other."""
     for pattern in fixed.KNOWN_TOKEN_PATTERNS:
-        text = F.regexp_replace(text, pattern, fixed.REDACTED)
+        text = F.regexp_replace(text, ascii_words(pattern), fixed.REDACTED)
     return text
 
 
 def holds_known_token(text: Column) -> Column:
-    return text.rlike("|".join(f"(?:{p})" for p in fixed.KNOWN_TOKEN_PATTERNS))
+    return text.rlike("|".join(f"(?:{ascii_words(p)})" for p in fixed.KNOWN_TOKEN_PATTERNS))
 
 
 def excerpt(line: Column) -> Column:

@@ -24,7 +24,7 @@ def first_match(
     """``rows`` plus ``payload`` of the first rule (by ``order``) whose ``(repo, lookup)`` the row
     asks for; null where none does. ``shape`` columns are not null and hold everything
     ``lookups`` (an array of strings) depends on."""
-    best_rule = rules.groupBy("repo", "lookup").agg(F.min(F.struct(*order, *payload)).alias("__hit"))
+    best_rule = rules.groupBy("repo", "lookup").agg(F.min(F.struct(*order, *[p for p in payload if p not in order])).alias("__hit"))
     asked = rows.select(*shape, F.explode(lookups).alias("lookup"), *([] if "repo" in shape else ["repo"])).distinct()
     hits = asked.join(best_rule, ["repo", "lookup"]).groupBy(*shape).agg(F.min("__hit").alias("__hit"))
     joined = rows.join(hits, list(shape), "left")
