@@ -11,12 +11,12 @@ from findlake.functions import fixed
 _SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
-# Java's ``\\b`` follows Unicode letters before JDK 19; the patterns here mean ASCII words.
+# Java's ``\b`` follows Unicode letters before JDK 19; the patterns here mean ASCII words.
 _BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def ascii_words(pattern: str) -> str:
-    """The pattern with every ``\\b`` between ASCII word characters and anything else."""
+    r"""The pattern with every ``\b`` between ASCII word characters and anything else."""
     return pattern.replace(r"\b", _BOUNDARY)
 
 

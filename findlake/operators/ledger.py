@@ -59,7 +59,18 @@ class SyncResult:
     report: DataFrame
 
 
-def outcomes(findings: DataFrame, ledger: DataFrame, session: str) -> DataFrame:
+Session = str | DataFrame
+
+
+def _stamped(df: DataFrame, session: Session, at: Column | None = None) -> DataFrame:
+    """``df`` with the session and time that apply to its repository; null where none does."""
+    if isinstance(session, DataFrame):
+        return df.join(session.select("repo", F.col("session").alias("__session"), F.col("at").cast("timestamp").alias("__at")), "repo", "left")
+    return df.withColumn("__session", F.lit(session)).withColumn("__at", (F.lit(None) if at is None else at).cast("timestamp"))
+
+
+def outcomes(findings: DataFrame, ledger: DataFrame, session: Session) -> DataFrame:
+    """One row per finding: ``entry_id`` and ``outcome`` (new, reopened, changed, unchanged)."""
     rows = with_identity(findings)
     folded = with_previous(rows, KEYS, "ord", "anchor", out="previous", attach=_first_entries(ledger))
     first = F.col("previous").isNull()
@@ -70,16 +81,16 @@ def outcomes(findings: DataFrame, ledger: DataFrame, session: str) -> DataFrame:
         .when(_differs(against, F.col("anchor")), "changed")
         .otherwise("unchanged")
     )
-    ident = entry_id(F.col("repo"), F.col("file"), F.col("identity"), F.lit(session))
-    return folded.select(*findings.columns, F.coalesce("known_id", ident).alias("entry_id"), outcome.alias("outcome"))
+    ident = entry_id(F.col("repo"), F.col("file"), F.col("identity"), F.col("__session"))
+    return _stamped(folded, session).select(*findings.columns, F.coalesce("known_id", ident).alias("entry_id"), outcome.alias("outcome"))
 
 
-def _event(time: Column, before: Column, after: Column, origin: str) -> Column:
+def _event(time: Column, before: Column, after: Column, origin: Column) -> Column:
     return F.struct(
-        time.cast("timestamp").alias("timestamp"),
+        time.alias("timestamp"),
         before.cast("string").alias("previous_state"),
         after.alias("new_state"),
-        F.lit(origin).alias("origin"),
+        origin.alias("origin"),
         F.lit(None).cast("string").alias("comment"),
     )
 
@@ -93,13 +104,14 @@ def not_analyzed(rule_id: Column, tool_ran: Column, known_tools: Sequence[str])
 def sync(
     findings: DataFrame,
     ledger: DataFrame,
-    session: str,
-    at: Column,
+    session: Session,
+    at: Column | None = None,
     scope: DataFrame | None = None,
     ran_tools: DataFrame | None = None,
     known_tools: Sequence[str] = (),
 ) -> SyncResult:
-    """Apply one session. ``scope`` (repo, file) limits what absence may resolve; null means the
+    """Apply one session: a name and a time, or rows (repo, session, at) with one session per
+    repository; repositories without one are left as they are. ``scope`` (repo, file) limits what absence may resolve; null means the
     whole workspace. ``ran_tools`` (repo, tool) lists the analyzers that ran."""
     per_finding = outcomes(findings, ledger, session)
 
@@ -125,13 +137,15 @@ def sync(
     columns = [c for c in ledger.columns if c not in ("repo", "file")]
     known = known.select(*KEYS, F.struct(*columns).alias("e"), "in_scope", "tool_ran")
 
-    both = known.join(latest, KEYS, "full_outer")
+    both = _stamped(known.join(latest, KEYS, "full_outer"), session, at)
+    origin = F.concat(F.lit("review:"), "__session")
     is_known, is_seen = F.col("e").isNotNull(), F.col("latest").isNotNull()
     status = F.col("e.status")
     reopen = is_known & is_seen & status.isin(*CLOSED)
     resolve = (
         is_known
         & ~is_seen
+        & F.col("__session").isNotNull()
         & status.isin(*LEDGER_ACTIVE)
         & F.col("in_scope")
         & ~not_analyzed(F.col("e.rule_id"), F.col("tool_ran"), known_tools)
@@ -140,10 +154,10 @@ def sync(
         F.when(~is_known, "open").when(reopen, "reopened").when(resolve, "resolved").otherwise(status)
     )
     moved = ~is_known | reopen | resolve
-    appended = F.array(_event(at, status, next_status, f"review:{session}"))
+    appended = F.array(_event(F.col("__at"), status, next_status, origin))
     history = F.when(moved, F.concat(F.coalesce(F.col("e.history"), F.array().cast("array<struct<timestamp:timestamp,previous_state:string,new_state:string,origin:string,comment:string>>")), appended)).otherwise(F.col("e.history"))
     refreshed = [F.when(is_seen, F.col(f"latest.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in LATEST]
-    ident = entry_id(F.col("repo"), F.col("file"), F.col("identity"), F.lit(session))
+    ident = entry_id(F.col("repo"), F.col("file"), F.col("identity"), F.col("__session"))
     after = both.select(
         "repo",
         F.coalesce("e.entry_id", ident).alias("entry_id"),
@@ -151,8 +165,8 @@ def sync(
         *refreshed,
         next_status.alias("status"),
         F.coalesce("e.entry_ord", "first_ord").alias("entry_ord"),
-        F.coalesce("e.created_session", F.lit(session)).alias("created_session"),
-        F.when(is_seen, F.lit(session)).otherwise(F.col("e.updated_session")).alias("updated_session"),
+        F.coalesce("e.created_session", "__session").alias("created_session"),
+        F.when(is_seen, F.col("__session")).otherwise(F.col("e.updated_session")).alias("updated_session"),
         history.alias("history"),
         F.coalesce(resolve, F.lit(False)).alias("auto_resolved"),
     )

@@ -50,18 +50,20 @@ def _request_function(target: Column, states: Sequence[str], moves: Mapping[str,
     return chain
 
 
-def _starts(rows: DataFrame, keys: Sequence[str], start: int, size: int, levels: int) -> DataFrame:
+def _starts(rows: DataFrame, keys: Sequence[str], start: int, size: int, levels: int, current: DataFrame | None) -> DataFrame:
     """``rows``: keys, idx, fn. Adds ``begin``: the state each row's function is applied to."""
     block = F.floor(F.col("idx") / BLOCK).cast("long")
     grouped = rows.groupBy(*keys, block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "fn"))).alias("items"))
-    if levels <= 1:
+    if levels <= 1 and current is None:
         begun = grouped.withColumn("begin", F.lit(start))
+    elif levels <= 1:
+        begun = grouped.join(current, list(keys), "left").withColumn("begin", F.coalesce("begin", F.lit(start)))
     else:
         same = F.array(*[F.lit(i) for i in range(size)])
         composed = F.aggregate(
             "items", same, lambda acc, item: F.transform(acc, lambda s: F.element_at(item["fn"], s + 1))
         )
-        above = _starts(grouped.select(*keys, F.col("block").alias("idx"), composed.alias("fn")), keys, start, size, levels - 1)
+        above = _starts(grouped.select(*keys, F.col("block").alias("idx"), composed.alias("fn")), keys, start, size, levels - 1, current)
         begun = grouped.join(above.select(*keys, F.col("idx").alias("block"), "begin"), [*keys, "block"])
 
     def step(acc: Column, item: Column) -> Column:
@@ -82,8 +84,10 @@ def fold(
     target: str,
     machine: tuple[Sequence[str], Mapping[str, Sequence[str]]],
     start: str | None = None,
+    current: DataFrame | None = None,
 ) -> DataFrame:
-    """Each request with ``state_before``, ``accepted`` and ``state_after``.
+    """Each request with ``state_before``, ``accepted`` and ``state_after``. ``current`` (keys,
+    status) holds the states keys are in already; others begin in ``start``.
 
     One small action finds the longest key, which fixes how many block levels the plan needs
     (one for keys of up to 256 requests, two up to 65,536, and so on).
@@ -94,7 +98,10 @@ def fold(
     levels = max(1, math.ceil(math.log(max(longest, 2), BLOCK)))
     rows = numbered(events, keys, ord_col, out="__nth").withColumn("idx", F.col("__nth") - 1)
     rows = rows.withColumn("fn", _request_function(F.col(target), states, moves))
-    begins = _starts(rows.select(*keys, "idx", "fn"), keys, first, len(states), levels)
+    if current is not None:
+        place = F.array_position(F.array(*[F.lit(s) for s in states]), F.col("status")) - 1
+        current = current.select(*keys, place.cast("int").alias("begin"))
+    begins = _starts(rows.select(*keys, "idx", "fn"), keys, first, len(states), levels, current)
     joined = rows.join(begins, [*keys, "idx"])
     names = F.array(*[F.lit(s) for s in states])
     before = F.element_at(names, F.col("begin") + 1)

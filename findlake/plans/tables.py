@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events as findings: a repository per ten users, a file per user, a rule per event type."""
     value = F.col("value")
     severity = (
         F.when(value >= 170, "critical").when(value >= 110, "high").when(value >= 70, "medium").when(value >= 35, "low").otherwise("informational")
     )
-    return table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events") if events is None else events
+    return rows.select(
         (F.col("user_id") % 10).cast("string").alias("repo"),
         F.concat(F.lit("u"), F.col("user_id")).alias("file"),
         F.when(F.col("event_type") != "view", F.col("event_type")).alias("rule_id"),
