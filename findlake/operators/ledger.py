@@ -62,11 +62,11 @@ class SyncResult:
 Session = str | DataFrame
 
 
-def _stamped(df: DataFrame, session: Session, at: Column | None = None) -> DataFrame:
+def _stamped(df: DataFrame, session: Session, at: Column | str | None = None) -> DataFrame:
     """``df`` with the session and time that apply to its repository; null where none does."""
     if isinstance(session, DataFrame):
         return df.join(session.select("repo", F.col("session").alias("__session"), F.col("at").cast("timestamp").alias("__at")), "repo", "left")
-    return df.withColumn("__session", F.lit(session)).withColumn("__at", (F.lit(None) if at is None else at).cast("timestamp"))
+    return df.withColumn("__session", F.lit(session)).withColumn("__at", (at if isinstance(at, Column) else F.lit(at)).cast("timestamp"))
 
 
 def outcomes(findings: DataFrame, ledger: DataFrame, session: Session) -> DataFrame:
@@ -105,7 +105,7 @@ def sync(
     findings: DataFrame,
     ledger: DataFrame,
     session: Session,
-    at: Column | None = None,
+    at: Column | str | None = None,
     scope: DataFrame | None = None,
     ran_tools: DataFrame | None = None,
     known_tools: Sequence[str] = (),
