@@ -16,6 +16,11 @@ KNOWN_TOKEN_PATTERNS = (
     r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
     r"\bSG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}\b",
 )
+# A text without any of these holds no credential of the formats above.
+KNOWN_TOKEN_MARKS = (
+    "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "_live_", "AIza",
+    "PRIVATE KEY-----", "eyJ", "SG.",
+)
 REDACTED = "[redacted]"
 EXCERPT_UNITS = 200
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from findlake.functions import fixed
+from findlake.functions.text import bound
 
 
 def basename(path: Column) -> Column:
@@ -55,17 +56,20 @@ def suffixes(path: Column) -> Column:
 def to_repository_path(raw: Column, root: Column) -> Column:
     """A path or ``file:`` URI a tool printed, made repository-relative; null when it is outside
     the root or climbs with ``..``. ``+`` is not a space in these URIs, so it is protected."""
+    base = F.regexp_replace(root, r"/+\z", "")
     after = F.regexp_replace(raw, r"^file:(?://(?:localhost)?)?", "")
     decoded = F.try_url_decode(F.replace(after, F.lit("+"), F.lit("%2B")))
-    path = F.when(raw.startswith("file:"), decoded).otherwise(raw)
-    base = F.regexp_replace(root, r"/+\z", "")
-    relative = (
-        F.when(~path.startswith("/"), path)
-        .when(path.startswith(F.concat(base, F.lit("/"))), F.substring(path, F.length(base) + 2, F.length(path)))
-    )
-    parts = F.filter(F.split(relative, "/"), lambda s: ~s.isin("", "."))
-    clean = F.array_join(parts, "/")
-    return F.when(F.array_contains(parts, "..") | (clean == ""), F.lit(None).cast("string")).otherwise(clean)
+
+    def inside(path: Column) -> Column:
+        return F.when(~path.startswith("/"), path).when(
+            path.startswith(F.concat(base, F.lit("/"))), F.substring(path, F.length(base) + 2, F.length(path))
+        )
+
+    def clean(parts: Column) -> Column:
+        return F.when(~F.array_contains(parts, "..") & (F.size(parts) > 0), F.array_join(parts, "/"))
+
+    relative = bound(F.when(raw.startswith("file:"), decoded).otherwise(raw), inside)
+    return bound(F.filter(F.split(relative, "/"), lambda s: ~s.isin("", ".")), clean)
 
 
 def is_test_path(path: Column) -> Column:

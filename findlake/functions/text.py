@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,19 +12,29 @@ from findlake.functions import fixed
 
 # The white space ECMAScript's trim removes.
 _SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_SPACE_CHARS = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
-# Java's ``\b`` follows Unicode letters before JDK 19; the patterns here mean ASCII words.
+# Java's `\\b` follows Unicode letters before JDK 19; the patterns here mean ASCII words.
 _BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_WORD_START = r"(?<![A-Za-z0-9_])"
+_WORD_NEXT = re.compile(r"(?:\(\?:)?(?:[A-Za-z0-9_]|\\[dw]|\[(?:A-Z|a-z|0-9|_)+\])")
 
 
 def ascii_words(pattern: str) -> str:
-    r"""The pattern with every ``\b`` between ASCII word characters and anything else."""
-    return pattern.replace(r"\b", _BOUNDARY)
+    """The pattern with every word boundary taken between ASCII word characters and anything
+    else; a boundary in front of a word character only has to look back."""
+    head, *rest = pattern.split(r"\b")
+    return head + "".join((_WORD_START if _WORD_NEXT.match(part) else _BOUNDARY) + part for part in rest)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
 
 
 def units(text: Column) -> Column:
@@ -32,7 +45,6 @@ def units(text: Column) -> Column:
 
 def first_units(text: Column, limit: int) -> Column:
     """The first ``limit`` UTF-16 units; a character cut in half becomes U+FFFD."""
-    head = F.substring(text, 1, limit)
 
     def take(state: Column, ch: Column) -> Column:
         size = F.when(ch.rlike(r"[\x{10000}-\x{10FFFF}]"), 2).otherwise(1)
@@ -45,19 +57,37 @@ def first_units(text: Column, limit: int) -> Column:
         return F.struct(kept.alias("out"), F.least(total, F.lit(limit)).alias("used"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
-    exact = F.aggregate(F.split(head, ""), start, take, lambda s: s["out"])
-    return F.when(head.rlike(r"[\x{10000}-\x{10FFFF}]"), exact).otherwise(head)
+
+    def cut(head: Column) -> Column:
+        exact = F.aggregate(F.split(head, ""), start, take, lambda s: s["out"])
+        wide = (F.octet_length(head) > F.length(head)) & head.rlike(r"[\x{10000}-\x{10FFFF}]")
+        return F.when(wide, exact).otherwise(head)
+
+    return bound(F.substring(text, 1, limit), cut)
+
+
+def _may_hold_token(text: Column) -> Column:
+    """Plain substring tests, so the patterns run only on the few texts that need them."""
+    hit = F.lit(False)
+    for mark in fixed.KNOWN_TOKEN_MARKS:
+        hit = hit | F.contains(text, F.lit(mark))
+    return hit
 
 
 def redact_known_tokens(text: Column) -> Column:
     """Every self-identifying credential replaced, one format after the other."""
-    for pattern in fixed.KNOWN_TOKEN_PATTERNS:
-        text = F.regexp_replace(text, ascii_words(pattern), fixed.REDACTED)
-    return text
+
+    def redact(plain: Column) -> Column:
+        clean = plain
+        for pattern in fixed.KNOWN_TOKEN_PATTERNS:
+            clean = F.regexp_replace(clean, ascii_words(pattern), fixed.REDACTED)
+        return F.when(_may_hold_token(plain), clean).otherwise(plain)
+
+    return bound(text, redact)
 
 
 def holds_known_token(text: Column) -> Column:
-    return text.rlike("|".join(f"(?:{ascii_words(p)})" for p in fixed.KNOWN_TOKEN_PATTERNS))
+    return _may_hold_token(text) & text.rlike("|".join(f"(?:{ascii_words(p)})" for p in fixed.KNOWN_TOKEN_PATTERNS))
 
 
 def excerpt(line: Column) -> Column:
@@ -100,19 +130,21 @@ def line_array(content: Column) -> Column:
 
 def is_generated_content(content: Column) -> Column:
     """A generated-file header in the first lines, or text shaped like minified code."""
-    lines = line_array(content)
-    head = F.array_join(F.slice(lines, 1, fixed.GENERATED_HEAD_LINES), "\n")
-    longest = F.array_max(F.transform(lines, units))
+
+    def judge(lines: Column) -> Column:
+        head = F.array_join(F.slice(lines, 1, fixed.GENERATED_HEAD_LINES), "\n")
+        longest = F.array_max(F.transform(lines, units))
+        return head.rlike(fixed.GENERATED_HEAD_PATTERN) | (
+            (total >= fixed.MINIFIED_MIN_UNITS)
+            & ((longest > fixed.MINIFIED_LONGEST_LINE) | (total / F.size(lines) > fixed.MINIFIED_AVERAGE_LINE))
+        )
+
     total = units(content)
-    return head.rlike(fixed.GENERATED_HEAD_PATTERN) | (
-        (total >= fixed.MINIFIED_MIN_UNITS)
-        & ((longest > fixed.MINIFIED_LONGEST_LINE) | (total / F.size(lines) > fixed.MINIFIED_AVERAGE_LINE))
-    )
+    return bound(line_array(content), judge)
 
 
 def word_count(text: Column) -> Column:
-    trimmed = trim_space(text)
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"{_SPACE}+")))
+    return bound(trim_space(text), lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, f"{_SPACE}+"))))
 
 
 def markdown_title(text: Column) -> Column:

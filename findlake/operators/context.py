@@ -78,43 +78,64 @@ def _package_maps() -> tuple[Column, Column]:
     return dependencies, development
 
 
-def _has(name: str) -> Column:
+def _read_roots(files: DataFrame) -> DataFrame:
+    """Root files with what several tests ask of them, computed once per row: the names
+    package.json depends on, and the text in lower case."""
     first, second = _package_maps()
-    return F.map_contains_key(first, name) | F.map_contains_key(second, name)
+    names = F.when(F.col("path") == "package.json", F.array_union(F.map_keys(first), F.map_keys(second)))
+    return root_files(files).select("repo", "path", "content", names.alias("__depends"), F.lower("content").alias("__lower"))
+
+
+def _has(name: str) -> Column:
+    return F.array_contains("__depends", name)
+
+
+def _explode_cells(rows: DataFrame, markers: dict[str, list[Column]], tests: dict[str, list[Column]], endings: dict[str, list[Column]]) -> DataFrame:
+    """``(repo, file, s)``: ``markers`` of a file name, ``tests`` of its content (each null unless
+    it holds) and what name endings show. A row evaluates only its own file's tests."""
+    name = F.col("path")
+    empty = F.filter(F.array(_row("", "", "")), lambda r: F.lit(False))
+    known = F.create_map(*[x for file, cells in markers.items() for x in (F.lit(file), F.array(*cells))])
+    tested = empty
+    for file, cells in tests.items():
+        tested = F.when(name == file, F.array_compact(F.array(*cells))).otherwise(tested)
+    ended = empty
+    for ending, cells in endings.items():
+        ended = F.when(name.endswith(ending), F.array_compact(F.array(*cells))).otherwise(ended)
+    found = F.concat(F.coalesce(F.try_element_at(known, name), empty), tested, ended)
+    return rows.select("repo", F.col("path").alias("file"), F.explode(found).alias("s"))
 
 
 def stack_signals(files: DataFrame) -> DataFrame:
     """``(repo, kind, value, file, detail)`` with kind language, framework, build, manager,
     runtime or workspace: root marker files, package.json fields, and names manifests mention."""
-    name, content = F.col("path"), F.col("content")
-    present = F.concat(name, F.lit(" present"))
-    cells = []
+    content, lower = F.col("content"), F.col("__lower")
+    markers: dict[str, list[Column]] = {}
     for kind, table in (("language", LANGUAGE_FILES), ("build", BUILD_FILES), ("manager", MANAGER_FILES), ("runtime", RUNTIME_FILES)):
         for i, (file, value) in enumerate(table):
-            cells.append(F.when(name == file, _row(kind, value, present, ord_=i)))
-    for ending, value in LANGUAGE_EXTENSIONS:
-        cells.append(F.when(name.endswith(ending), _row("language", value, present, ord_=50)))
-    cells.append(F.when(name.isin(*MONOREPO_FILES), _row("workspace", "monorepo", present)))
-    package = name == "package.json"
-    for i, (dependency, value) in enumerate(PACKAGE_FRAMEWORKS):
-        cells.append(F.when(package & _has(dependency), _row("framework", value, f'dependency "{dependency}" declared', ord_=i)))
-    cells.append(F.when(package & F.get_json_object(content, "$.workspaces").isNotNull(), _row("workspace", "monorepo", '"workspaces" field present', ord_=9)))
+            markers.setdefault(file, []).append(_row(kind, value, f"{file} present", ord_=i))
+    for file in MONOREPO_FILES:
+        markers.setdefault(file, []).append(_row("workspace", "monorepo", f"{file} present"))
+
+    package = [F.when(_has(d), _row("framework", value, f'dependency "{d}" declared', ord_=i)) for i, (d, value) in enumerate(PACKAGE_FRAMEWORKS)]
+    package.append(F.when(F.get_json_object(content, "$.workspaces").isNotNull(), _row("workspace", "monorepo", '"workspaces" field present', ord_=9)))
     manager = F.element_at(F.split(F.get_json_object(content, "$.packageManager"), "@"), 1)
     shown = F.when(manager == "bun", "Bun").when(manager == "yarn", "Yarn").when(manager.isin("pnpm", "npm"), manager)
-    cells.append(F.when(package & shown.isNotNull(), _row("manager", shown, "packageManager field", ord_=20)))
-    cells.append(F.when(package & (manager == "bun"), _row("runtime", "Bun", "packageManager field", ord_=20)))
+    package.append(F.when(shown.isNotNull(), _row("manager", shown, "packageManager field", ord_=20)))
+    package.append(F.when(manager == "bun", _row("runtime", "Bun", "packageManager field", ord_=20)))
     node = F.get_json_object(content, "$.engines.node")
-    cells.append(F.when(package & (node != ""), _row("runtime", "Node.js", F.concat(F.lit('engines.node = "'), node, F.lit('"')), ord_=21)))
-    lower = F.lower(content)
+    package.append(F.when(node != "", _row("runtime", "Node.js", F.concat(F.lit('engines.node = "'), node, F.lit('"')), ord_=21)))
+    tests = {"package.json": package}
     for i, (file, needles, value) in enumerate(FRAMEWORK_NEEDLES):
         hit = F.lit(False)
         for needle in needles:
             hit = hit | lower.contains(needle)
-        cells.append(F.when((name == file) & hit, _row("framework", value, "dependency on the framework found", ord_=20 + i)))
+        tests.setdefault(file, []).append(F.when(hit, _row("framework", value, "dependency on the framework found", ord_=20 + i)))
     web = lower.contains(ASPNET_NEEDLES[0]) | lower.contains(ASPNET_NEEDLES[1])
-    cells.append(F.when(name.endswith(".csproj") & web, _row("framework", "ASP.NET Core", "dependency on the framework found", ord_=60)))
-    found = F.explode(F.array_compact(F.array(*cells))).alias("s")
-    return root_files(files).select("repo", F.col("path").alias("file"), found).select("repo", "file", "s.kind", "s.value", "s.detail", "s.origin", "s.confidence", "s.ord")
+    endings = {ending: [_row("language", value, f"{ending} file present", ord_=50)] for ending, value in LANGUAGE_EXTENSIONS}
+    endings[".csproj"].append(F.when(web, _row("framework", "ASP.NET Core", "dependency on the framework found", ord_=60)))
+    found = _explode_cells(_read_roots(files), markers, tests, endings)
+    return found.select("repo", "file", "s.kind", "s.value", "s.detail", "s.origin", "s.confidence", "s.ord")
 
 
 def stack_profile(signals: DataFrame) -> DataFrame:
@@ -145,19 +166,18 @@ def capabilities(files: DataFrame, signals: DataFrame) -> DataFrame:
         chain = F.when(F.col("value").isin(*frameworks), platform).otherwise(chain)
     platforms = signals.where("kind = 'framework'").select("repo", F.lit("platform").alias("kind"), chain.alias("id"), F.lit("high").alias("confidence"), F.lit("convention").alias("origin"), F.lit(200).alias("ord")).where("id IS NOT NULL").distinct()
 
-    name, content = F.col("path"), F.col("content")
-    cells = [F.when(name == file, _row("tooling", value, "", "config", ord_=400)) for file, value in TOOLING_FILES]
-    package = name == "package.json"
-    cells += [F.when(package & _has(d), _row("framework", d, "", ord_=150)) for d in EXTRA_FRAMEWORKS]
-    cells.append(F.when(name == "tsconfig.json", _row("language", "typescript", "", ord_=90)))
-    cells.append(F.when(package & _has("typescript"), _row("language", "typescript", "", confidence="medium", ord_=91)))
-    cells.append(F.when(package & (F.get_json_object(content, "$.engines.vscode") != ""), _row("platform", "vscode-extension", "", ord_=250)))
-    composer = name == "composer.json"
-    cells.append(F.when(composer, _row("language", "php", "", ord_=500)))
+    content = F.col("content")
+    markers = {file: [_row("tooling", value, "", "config", ord_=400)] for file, value in TOOLING_FILES}
+    markers["tsconfig.json"] = [_row("language", "typescript", "", ord_=90)]
+    markers["composer.json"] = [_row("language", "php", "", ord_=500)]
+    for file in ("pnpm-workspace.yaml", "turbo.json"):
+        markers[file] = [_row("characteristic", "workspace", "", "convention", ord_=600)]
+    package = [F.when(_has(d), _row("framework", d, "", ord_=150)) for d in EXTRA_FRAMEWORKS]
+    package.append(F.when(_has("typescript"), _row("language", "typescript", "", confidence="medium", ord_=91)))
+    package.append(F.when(F.get_json_object(content, "$.engines.vscode") != "", _row("platform", "vscode-extension", "", ord_=250)))
     requires = F.from_json(F.get_json_object(content, "$.require"), _MAP)
-    cells.append(F.when(composer & F.map_contains_key(requires, "laravel/framework"), _row("framework", "laravel", "", ord_=501)))
-    cells.append(F.when(name.isin("pnpm-workspace.yaml", "turbo.json"), _row("characteristic", "workspace", "", "convention", ord_=600)))
-    marked = root_files(files).select("repo", F.explode(F.array_compact(F.array(*cells))).alias("s")).select(
+    composer = [F.when(F.map_contains_key(requires, "laravel/framework"), _row("framework", "laravel", "", ord_=501))]
+    marked = _explode_cells(_read_roots(files), markers, {"package.json": package, "composer.json": composer}, {}).select(
         "repo", "s.kind", F.col("s.value").alias("id"), "s.confidence", "s.origin", "s.ord"
     )
 

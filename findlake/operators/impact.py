@@ -39,10 +39,11 @@ def estimate(
     modules = affected.select(*keys, "module", F.lit("affected").alias("role")).unionByName(
         below.select(*keys, F.col("node").alias("module"), F.lit("downstream").alias("role"))
     )
-    named = symbols.join(affected, ["repo", "module"])
-    by_file = named.join(files.select(*keys, "file"), [*keys, "file"], "left_semi")
-    by_definition = named.join(files.select(*keys, F.col("file").alias("def_file")), [*keys, "def_file"], "left_semi")
-    public = by_file.unionByName(by_definition.select(*by_file.columns)).distinct()
+    # Symbols meet the change by file first, so a module's whole surface is never listed per change.
+    by_file = symbols.join(files.select(*keys, "file"), ["repo", "file"])
+    by_definition = symbols.join(files.select(*keys, F.col("file").alias("def_file")), ["repo", "def_file"])
+    met = by_file.unionByName(by_definition.select(*by_file.columns)).distinct()
+    public = met.join(affected, [*keys, "module"], "left_semi")
     if touched_lines is None:
         touched = public.limit(0)
     else:

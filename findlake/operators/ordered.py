@@ -23,7 +23,7 @@ _CHUNK = "__chunk"
 
 
 def chunk_of(ord_col: str, width: int = CHUNK_WIDTH) -> Column:
-    return F.floor(F.col(ord_col) / F.lit(width)).cast("long")
+    return F.expr(f"CAST(`{ord_col}` AS BIGINT) div {width}")
 
 
 def _attached(carry: DataFrame, keys: Sequence[str], attach: DataFrame | None) -> tuple[DataFrame, list[str]]:

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.functions.fixed import KNOWN_TOKEN_PATTERNS
+from findlake.functions.fixed import KNOWN_TOKEN_MARKS, KNOWN_TOKEN_PATTERNS
 from findlake.functions.identity import content_anchor
 from findlake.functions.paths import basename, extension, is_test_path
-from findlake.functions.text import ascii_words, excerpt, first_sentence
+from findlake.functions.secrets import named_literals
+from findlake.functions.text import ascii_words, excerpt, first_sentence, holds_known_token
 from findlake.operators.ordered import first_per_key
 
 # --- fixed values: rule, concept, when a call is reported, confidence, severity (null = the rule's),
@@ -69,7 +70,8 @@ SCRIPT_LANGUAGES = ("javascript", "jsx", "typescript", "tsx", "vue", "svelte", "
 @dataclass(frozen=True)
 class LineRule:
     """A pattern over single lines. ``only_in``: extensions it means something in; ``unless``: a
-    pattern that clears the line; ``tests``: whether test files are read."""
+    pattern that clears the line; ``tests``: whether test files are read; ``needs``: plain text a
+    hit always holds one of, tested before the pattern."""
 
     rule_id: str
     pattern: str
@@ -79,9 +81,10 @@ class LineRule:
     only_in: Sequence[str] = ()
     unless: str | None = None
     tests: bool = False
+    needs: Sequence[str] = ()
 
 
-SECRET_RULE = LineRule("no-hardcoded-secrets", "|".join(f"(?:{p})" for p in KNOWN_TOKEN_PATTERNS), "critical", "security", tests=True)
+SECRET_RULE = LineRule("no-hardcoded-secrets", "|".join(f"(?:{p})" for p in KNOWN_TOKEN_PATTERNS), "critical", "security", tests=True, needs=KNOWN_TOKEN_MARKS)
 
 
 def scan_lines(lines: DataFrame, rules: Sequence[LineRule]) -> DataFrame:
@@ -92,6 +95,11 @@ def scan_lines(lines: DataFrame, rules: Sequence[LineRule]) -> DataFrame:
     hits = []
     for rule in rules:
         found = text.rlike(ascii_words(rule.pattern))
+        if rule.needs:
+            mark = F.lit(False)
+            for plain in rule.needs:
+                mark = mark | F.contains(text, F.lit(plain))
+            found = mark & found
         if rule.unless:
             found = found & ~text.rlike(ascii_words(rule.unless))
         if rule.only_in:
@@ -105,6 +113,15 @@ def scan_lines(lines: DataFrame, rules: Sequence[LineRule]) -> DataFrame:
     return lines.select(*lines.columns, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*lines.columns, "h.*")
 
 
+def scan_secrets(lines: DataFrame) -> DataFrame:
+    """``no-hardcoded-secrets`` in two passes: formats that name themselves (high confidence) and
+    literals given to secret-looking names (medium); a line both find is reported once."""
+    literal = F.exists(named_literals(F.col("text")), lambda p: p["value"].isNotNull()) & ~is_test_path(F.col("file"))
+    confidence = F.when(holds_known_token(F.col("text")), "high").when(literal, "medium")
+    hits = lines.withColumn("confidence", confidence).where("confidence IS NOT NULL")
+    return hits.select(*lines.columns, F.lit(SECRET_RULE.rule_id).alias("rule_id"), F.lit("critical").alias("severity"), F.lit("security").alias("category"), "confidence")
+
+
 def with_excerpt(hits: DataFrame) -> DataFrame:
     cited = excerpt(F.col("text"))
     return hits.withColumn("excerpt", cited).withColumn("anchor", content_anchor(cited))

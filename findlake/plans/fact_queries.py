@@ -6,7 +6,7 @@ from findlake.functions import secrets
 from findlake.functions.directives import parse_directives, suppression_comment
 from findlake.operators import accept, context, coverage, envdocs, ledger as L, quality, rules, semantic
 from findlake.plans.registry import query
-from findlake.plans.tables import FINDINGS_SQL, LEDGER_SQL, LINES_SQL, findings, ledger, lines, table
+from findlake.plans.tables import FINDINGS_SQL, LEDGER_SQL, LINES_SQL, findings, ledger, lines, table, texts
 
 LINE_RULES = [
     rules.LineRule("no-ip-address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "medium", "security"),
@@ -40,7 +40,7 @@ WHERE length(f.value) >= 8 AND entropy >= 3.0 AND NOT regexp_matches(f.value, '^
   AND NOT regexp_matches(f.value, '(?i)^(x+|\*+|\.+|<.*>|your[_-].*|change[_-]?me.*|example.*|dummy.*|test.*|todo|none|null|undefined)$')""",
 )
 def secret_candidates(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(secrets.named_literals(F.col("text"))).alias("s"))
+    found = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", F.explode(secrets.named_literals(F.col("text"))).alias("s"))
     return found.select("doc_id", "s.value")
 
 

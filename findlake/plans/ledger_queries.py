@@ -208,9 +208,10 @@ def memory_filter(spark, sf_dir):
         ("exception", None, "purchase", None, "active", 7), ("exception", "u1", "click", None, "active", 8),
         ("accepted-deviation", "u6", "click", None, "active", 9), ("exception", "u5", "error", None, "deprecated", 10),
     ]
-    listed = spark.createDataFrame(items, "kind string, file string, rule_id string, category string, status string, item_ord long")
-    repos = rows.select("repo").distinct()
-    memory = repos.join(F.broadcast(listed), F.lit(True)).withColumn("item_id", F.concat(F.lit("m"), "item_ord"))
+    names = ("kind", "file", "rule_id", "category", "status")
+    listed = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, item)], F.lit(item[5]).cast("long").alias("item_ord")) for item in items])
+    memory = rows.select("repo").distinct().select("repo", F.explode(listed).alias("m")).select("repo", "m.*")
+    memory = memory.withColumn("item_id", F.concat(F.lit("m"), "item_ord"))
     return accept.apply_memory(rows, memory).select("repo", "ord", "memory_item", "suppressed_by")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions.paths import is_ignored_path, is_test_path
 from findlake.plans.registry import query
-from findlake.plans.tables import FINDINGS_SQL, LINES_SQL, files, findings, table
+from findlake.plans.tables import FINDINGS_SQL, LINES_SQL, files, findings, table, texts
 from findlake.sinks import reports
 from findlake.sources import analyzers, diff
 
@@ -74,7 +74,7 @@ def _sarif_text():
 FROM events WHERE event_id % 5 IN (0, 1, 3)""",
 )
 def sarif_ingest(spark, sf_dir):
-    reports_in = table(spark, sf_dir, "events").select(
+    reports_in = texts(spark, sf_dir, "events", "event_id").select(
         (F.col("user_id") % 10).cast("string").alias("repo"), F.lit("scanner").alias("tool"), F.lit("/repo").alias("root"), _sarif_text().alias("content")
     )
     found = analyzers.read_sarif(reports_in).where(~is_ignored_path(F.col("file")))
@@ -95,7 +95,7 @@ def ruff_ingest(spark, sf_dir):
     text = F.concat(
         F.lit('[{"code":"'), code, F.lit('","message":"m","filename":"/repo/pkg/u'), F.col("user_id").cast("string"), F.lit('.py","location":{"row":'), (F.col("event_id") % 500 + 1).cast("string"), F.lit(',"column":1}}]')
     )
-    reports_in = table(spark, sf_dir, "events").select((F.col("user_id") % 10).cast("string").alias("repo"), F.lit("ruff").alias("tool"), F.lit("/repo").alias("root"), text.alias("content"))
+    reports_in = texts(spark, sf_dir, "events", "event_id").select((F.col("user_id") % 10).cast("string").alias("repo"), F.lit("ruff").alias("tool"), F.lit("/repo").alias("root"), text.alias("content"))
     return analyzers.read_ruff(reports_in).select("repo", "rule_id", "severity", "category", "file", "line")
 
 

@@ -13,12 +13,18 @@ from findlake.functions import fixed
 from findlake.functions.identity import content_anchor
 from findlake.operators.ledger import sync
 from findlake.schemas import LEDGER
+from findlake.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A text table spread over the cores: pattern work on it is bound by CPU."""
+    return spread(table(spark, sf_dir, name), *keys)
+
+
 def findings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as findings: a repository per ten users, a file per user, a rule per event type."""
     value = F.col("value")
@@ -127,7 +133,7 @@ ledger AS (
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: one repository per source."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         F.col("source").alias("repo"),
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
         "doc_id",

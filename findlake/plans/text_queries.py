@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from findlake.functions import text as T
 from findlake.operators import coverage
 from findlake.plans.registry import query
-from findlake.plans.tables import files, redact_sql, table
+from findlake.plans.tables import files, redact_sql, texts
 
 TRIM_SQL = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
@@ -17,7 +17,7 @@ TRIM_SQL = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 def content_anchor(spark, sf_dir):
     from findlake.functions.identity import content_anchor as anchor
 
-    return table(spark, sf_dir, "documents").select("doc_id", anchor(T.excerpt(F.col("text"))).alias("anchor"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", anchor(T.excerpt(F.col("text"))).alias("anchor"))
 
 
 def _scrub_sql(column: str) -> str:
@@ -36,8 +36,8 @@ WITH texts AS (
 SELECT id, substr(sha256(clean), 1, 16) AS clean_hash, clean <> text AS touched FROM hidden""",
 )
 def redact_tokens(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
-    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("id"), "text")
+    documents = texts(spark, sf_dir, "documents", "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    turns = texts(spark, sf_dir, "conversations", "conv_id", "turn").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("id"), "text")
     clean = T.scrub_quoted(T.redact_known_tokens(F.col("text")))
     return documents.unionByName(turns).select(
         "id", F.substring(F.sha2(clean, 256), 1, 16).alias("clean_hash"), (clean != F.col("text")).alias("touched")
@@ -57,8 +57,8 @@ SELECT id,
 FROM parts""",
 )
 def generated_content(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
+    documents = texts(spark, sf_dir, "documents", "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    pages = texts(spark, sf_dir, "pages", "page_id").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
     return documents.unionByName(pages).select("id", T.is_generated_content(F.col("text")).alias("generated"))
 
 
@@ -72,7 +72,7 @@ FROM (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM
 )
 def word_count_title(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(text).alias("words"), T.markdown_title(text).alias("title"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", T.word_count(text).alias("words"), T.markdown_title(text).alias("title"))
 
 
 @query(
