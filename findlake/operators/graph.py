@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from findlake.session import materialize
 
 
+# Propagation steps per written round: fewer writes, at most this many steps too many at the end.
+HOPS = 2
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -55,22 +59,22 @@ def dependents(edges: DataFrame, starts: DataFrame, keys: Sequence[str] = ("repo
 
 def _spread_max(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Largest ``color`` that reaches each node, to a fixpoint."""
-    current = nodes
+    current = nodes.select("repo", "node", "color")
     while True:
-        offered = (
-            edges.join(current.select("repo", F.col("node").alias("src"), "color"), ["repo", "src"])
-            .groupBy("repo", F.col("dst").alias("node"))
-            .agg(F.max("color").alias("offer"))
-        )
-        moved = current.select("repo", "node", "color").join(offered, ["repo", "node"], "left").select(
-            "repo",
-            "node",
-            F.greatest("color", "offer").alias("color"),
-            F.coalesce(F.col("offer") > F.col("color"), F.lit(False)).alias("moved"),
-        )
-        current = materialize(moved, "color")
-        if current.where("moved").isEmpty():
-            return current.select("repo", "node", "color")
+        before = current
+        for _ in range(HOPS):
+            offered = (
+                edges.join(current.select("repo", F.col("node").alias("src"), "color"), ["repo", "src"])
+                .groupBy("repo", F.col("dst").alias("node"))
+                .agg(F.max("color").alias("offer"))
+            )
+            current = current.join(offered, ["repo", "node"], "left").select("repo", "node", F.greatest("color", "offer").alias("color"))
+        old = before.select("repo", "node", F.col("color").alias("old"))
+        current = materialize(current.join(old, ["repo", "node"]).withColumn("moved", F.col("color") > F.col("old")), "color")
+        done = current.where("moved").isEmpty()
+        current = current.select("repo", "node", "color")
+        if done:
+            return current
 
 
 def components(edges: DataFrame) -> DataFrame:

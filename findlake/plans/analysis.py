@@ -1,12 +1,12 @@
-"""Whole-repository analysis as one job graph over file, manifest and import facts."""
+"""Whole-repository analysis over file, manifest and import facts, stage by stage on demand."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from findlake.operators import graph, layers, modules, ownership, resolve
 from findlake.session import materialize
@@ -14,56 +14,72 @@ from findlake.session import materialize
 
 @dataclass(frozen=True)
 class Analysis:
-    modules: DataFrame
-    module_files: DataFrame
-    edges: DataFrame
-    unresolved: DataFrame
-    layers: DataFrame
-    violations: DataFrame
-    cycles: DataFrame
-    shortest_cycles: DataFrame
-    owners: DataFrame
-    not_covered: DataFrame
-
-
-def analyze(
-    files: DataFrame,
-    manifests: DataFrame,
-    imports: DataFrame,
-    dependencies: DataFrame,
-    owner_files: DataFrame,
-    aliases: DataFrame | None = None,
-    entries: DataFrame | None = None,
-    module_roots: Mapping[str, Sequence[str]] | None = None,
-) -> Analysis:
-    """Boundaries, graph, layers, cycles and ownership.
+    """Boundaries, graph, layers, cycles and ownership of the repositories in ``files``.
 
     ``files``: repo, path. ``manifests``: repo, dir, ecosystem, name, member. ``imports``: repo,
     file, line, specifier, scope. ``dependencies``: see ``modules.declared_edges``.
-    ``owner_files``: repo, path, content. The module and edge tables feed every later stage, so
-    they are written once and read back.
+    ``owner_files``: repo, path, content. A stage runs when it is first asked for; what several
+    stages read (modules, resolved imports, edges) is written once and read back.
     """
-    found = materialize(modules.infer_boundaries(files, manifests, module_roots), "modules")
-    owned = materialize(modules.module_files(files, found), "module-files")
-    packages = found.where("manifest = 'npm' AND name IS NOT NULL").select("repo", "name", "module")
-    resolved = materialize(resolve.resolve_scripts(imports, files, packages, aliases, entries), "resolved")
-    evidence = modules.import_edges(resolved, found).unionByName(modules.declared_edges(dependencies, found))
-    edges = materialize(modules.edges(evidence), "edges")
-    assigned = layers.assign(found)
-    links = edges.select("repo", "src", "dst").distinct()
-    members = materialize(graph.cycles(links), "cycles")
-    rules = ownership.parse_rules(owner_files)
-    owners = ownership.module_owners(owned, ownership.owners_of(owned, rules))
-    rooted = owned.select("repo", "path").distinct()
-    return Analysis(
-        modules=found,
-        module_files=owned,
-        edges=edges,
-        unresolved=modules.unresolved_imports(resolved),
-        layers=assigned,
-        violations=layers.violations(edges, assigned),
-        cycles=members,
-        shortest_cycles=graph.shortest_cycles(links, members.select("repo", "component", "node")),
-        owners=owners,
-        not_covered=files.select("repo", "path").join(rooted, ["repo", "path"], "left_anti"),
-    )
+
+    files: DataFrame
+    manifests: DataFrame
+    imports: DataFrame
+    dependencies: DataFrame
+    owner_files: DataFrame
+    aliases: DataFrame | None = None
+    entries: DataFrame | None = None
+    module_roots: Mapping[str, Sequence[str]] | None = None
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return materialize(modules.infer_boundaries(self.files, self.manifests, self.module_roots), "modules")
+
+    @cached_property
+    def module_files(self) -> DataFrame:
+        return materialize(modules.module_files(self.files, self.modules), "module-files")
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        packages = self.modules.where("manifest = 'npm' AND name IS NOT NULL").select("repo", "name", "module")
+        return materialize(resolve.resolve_scripts(self.imports, self.files, packages, self.aliases, self.entries), "resolved")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        evidence = modules.import_edges(self.resolved, self.modules).unionByName(modules.declared_edges(self.dependencies, self.modules))
+        return materialize(modules.edges(evidence), "edges")
+
+    @property
+    def unresolved(self) -> DataFrame:
+        return modules.unresolved_imports(self.resolved)
+
+    @property
+    def layers(self) -> DataFrame:
+        return layers.assign(self.modules)
+
+    @property
+    def violations(self) -> DataFrame:
+        return layers.violations(self.edges, self.layers)
+
+    @cached_property
+    def cycles(self) -> DataFrame:
+        return materialize(graph.cycles(self._links), "cycles")
+
+    @property
+    def shortest_cycles(self) -> DataFrame:
+        return graph.shortest_cycles(self._links, self.cycles.select("repo", "component", "node"))
+
+    @property
+    def owners(self) -> DataFrame:
+        rules = ownership.parse_rules(self.owner_files)
+        return ownership.module_owners(self.module_files, ownership.owners_of(self.module_files, rules))
+
+    @property
+    def not_covered(self) -> DataFrame:
+        """Files no module owns."""
+        owned = self.module_files.select("repo", "path").distinct()
+        return self.files.select("repo", "path").join(owned, ["repo", "path"], "left_anti")
+
+    @property
+    def _links(self) -> DataFrame:
+        return self.edges.select("repo", "src", "dst").distinct()

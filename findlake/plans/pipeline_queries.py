@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from findlake.operators import modules, resolve, surface
-from findlake.plans.analysis import analyze
+from findlake.plans.analysis import Analysis
 from findlake.plans.registry import query
 from findlake.plans.review import review
 from findlake.plans.tables import LEDGER_SQL, ledger, session_one, session_two, table, texts
@@ -79,7 +79,7 @@ def _analysis(spark, sf_dir):
     none = manifests.limit(0).select("repo", F.col("dir").alias("module"), "ecosystem", "name", null.alias("path"), null.alias("manifest_file"))
     rule = F.lit("* @all\npackages/b1*/** @teens\n")
     owner_files = files.select("repo").distinct().select("repo", F.lit("CODEOWNERS").alias("path"), rule.alias("content"))
-    return analyze(files, manifests, imports, none, owner_files)
+    return Analysis(files, manifests, imports, none, owner_files)
 
 
 SHOP_SQL = """
@@ -110,6 +110,16 @@ def analysis_owners(spark, sf_dir):
     return _analysis(spark, sf_dir).owners.select("module", F.array_join("owners", ",").alias("owners"), "owned_files")
 
 
+@query(
+    "analysis_cycles",
+    f"""WITH RECURSIVE {SHOP_SQL}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst),
+m AS (SELECT a.src AS node, min(a.dst) AS component, count(DISTINCT a.dst) AS size FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
+SELECT component, node, size FROM m WHERE size >= 2""",
+)
+def analysis_cycles(spark, sf_dir):
+    return _analysis(spark, sf_dir).cycles.select("component", "node", "size")
+
+
 def _report_rows(spark, sf_dir, tool, content):
     return texts(spark, sf_dir, "events", "event_id").select((F.col("user_id") % 10).cast("string").alias("repo"), F.lit(tool).alias("tool"), F.lit("/repo").alias("root"), content.alias("content"))
 
