@@ -151,12 +151,29 @@ def sarif_rules(spark, sf_dir):
     return reports.sarif_rules(findings(spark, sf_dir)).select("repo", "rule", "ord", "title")
 
 
-@query("sarif_report_lines")
+@query(
+    "sarif_report_lines",
+    f"""WITH {FINDINGS_SQL},
+rules AS (SELECT repo, coalesce(rule_id, category) AS rule, min(ord) AS ord, arg_min(title, ord) AS title FROM findings GROUP BY 1, 2),
+a AS (SELECT repo, ord, min(ord) OVER (PARTITION BY repo) AS f, '{{"id":"' || rule || '","name":"' || rule || '","shortDescription":{{"text":"' || title || '"}}}}' AS t FROM rules),
+b AS (SELECT repo, ord, min(ord) OVER (PARTITION BY repo) AS f, '{{"ruleId":"' || coalesce(rule_id, category) || '","level":"' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END
+  || '","message":{{"text":"' || title || '."}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '","uriBaseId":"%SRCROOT%"}},"region":{{"startLine":' || line || ',"endLine":' || line || '}}}}}}],"properties":{{"severity":"' || severity || '","category":"' || category || '"}}}}' AS t FROM findings)
+SELECT repo, 1 AS section, ord, CASE WHEN ord = f THEN t ELSE ',' || t END AS text FROM a
+UNION ALL SELECT repo, 4, ord, CASE WHEN ord = f THEN t ELSE ',' || t END FROM b
+UNION ALL SELECT DISTINCT repo, 0, 0, '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"findlake","version":"1.0.0","rules":[' FROM findings
+UNION ALL SELECT DISTINCT repo, 2, 0, ']}}}},"results":[' FROM findings
+UNION ALL SELECT DISTINCT repo, 3, 0, '' FROM findings UNION ALL SELECT DISTINCT repo, 5, 0, ']}}]}}' FROM findings""",
+)
 def sarif_report_lines(spark, sf_dir):
     return reports.sarif_report(findings(spark, sf_dir))
 
 
-@query("text_report_lines")
+@query(
+    "text_report_lines",
+    f"""WITH {FINDINGS_SQL}, r(s, n) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('informational', 4))
+SELECT repo, n AS section, ord, rpad(severity, 13, ' ') || ' ' || file || ':' || line || '  ' || title || '  (' || coalesce(rule_id, category) || ')' AS text FROM findings JOIN r ON s = severity
+UNION ALL SELECT repo, 5, 0, count(*) || CASE WHEN count(*) = 1 THEN ' finding.' ELSE ' findings.' END FROM findings GROUP BY repo""",
+)
 def text_report_lines(spark, sf_dir):
     return reports.text_report(findings(spark, sf_dir))
 
