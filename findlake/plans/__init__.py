@@ -4,7 +4,7 @@ from importlib import import_module
 
 from findlake.plans.registry import QUERIES, SQL
 
-MODULES = ("text_queries", "ledger_queries", "graph_queries", "module_queries", "report_queries", "fact_queries", "stream_queries", "pipeline_queries", "import_queries")
+MODULES = ("text_queries", "ledger_queries", "graph_queries", "module_queries", "report_queries", "fact_queries", "stream_queries", "pipeline_queries", "import_queries", "detail_queries")
 
 
 def _load() -> None:
