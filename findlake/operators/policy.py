@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions import semver
 from findlake.functions.identity import canonical_hash
+from findlake.functions.text import trim_space
 from findlake.session import materialize
 
 LAST = 2**31 - 1
@@ -17,10 +18,30 @@ def best_versions(requests: DataFrame, packs: DataFrame) -> DataFrame:
     first. ``requests``: pack, range (null = any). ``packs``: pack, version, pack_ord."""
     wanted = requests.select("pack", F.coalesce("range", F.lit("*")).alias("range")).distinct()
     known = packs.groupBy("pack", "version").agg(F.min("pack_ord").alias("pack_ord"))
-    fits = wanted.join(known, "pack").where(semver.satisfies(F.col("version"), F.col("range")))
+
+    # The best version of a range is the best of its pack, major or minor line, if it reaches the
+    # range's base: each line's best is found once, and a request looks up one line.
+    def lines(parsed: Column) -> list[Column]:
+        parts = [parsed[n].cast("string") for n in ("major", "minor", "patch")]
+        return [F.concat_ws(".", *parts[:n]) for n in (1, 2, 3)]
+
+    parsed = semver.parse(F.col("version"))
+    keys = F.when(parsed.isNull(), F.array(F.lit("*"))).otherwise(F.array(F.lit("*"), *lines(parsed)))
     order = F.struct(semver.sort_key(F.col("version")).alias("v"), (-F.col("pack_ord")).alias("o"))
-    best = fits.groupBy("pack", "range").agg(F.max_by("version", order).alias("version"))
-    return wanted.join(best, ["pack", "range"], "left")
+    best = known.select("pack", "version", order.alias("order"), F.explode(keys).alias("line")).groupBy("pack", "line").agg(
+        F.max_by("version", "order").alias("version"), F.max("order.v").alias("top")
+    )
+    text = trim_space(F.col("range"))
+    base_text = F.regexp_replace(text, r"^[\^~]", "")
+    base = semver.parse(base_text)
+    major, minor, exact = lines(base)
+    line = (
+        F.when(text.isin("*", ""), F.lit("*")).when(base.isNull(), F.lit(None)).when(text.startswith("^"), major).when(text.startswith("~"), minor).otherwise(exact)
+    )
+    asked = wanted.select("pack", "range", line.alias("line"), semver.sort_key(base_text).alias("base"))
+    found = asked.join(best, ["pack", "line"], "left")
+    reached = (F.col("line") == "*") | (F.col("top") >= F.col("base"))
+    return found.select("pack", "range", F.when(reached, F.col("version")).alias("version"))
 
 
 def resolve_dependencies(requested: DataFrame, packs: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:

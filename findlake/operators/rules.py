@@ -215,14 +215,12 @@ def concept_hits(
     options, argument_text. ``flow``: repo, file, call_id, argument, certainty of input reaching
     that argument. Certain input keeps the rule's confidence; uncertain input is low and medium.
     """
-    table = F.array(
-        *[
-            F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("for"), F.lit(w).alias("when"), F.lit(f).alias("confidence"), F.lit(s).cast("string").alias("severity"), F.lit(j).alias("script"))
-            for r, c, w, f, s, j in rules
-        ]
-    )
-    bound = F.filter(table, lambda t: t["for"] == F.col("concept"))
-    rows = called.select("*", F.explode(bound).alias("b")).where(F.col("b.script") | ~F.col("language").isin(*SCRIPT_LANGUAGES))
+    by_concept: dict[str, list[Column]] = {}
+    for rule, concept, when, confidence, severity, script in rules:
+        cells = (F.lit(rule).alias("rule_id"), F.lit(when).alias("when"), F.lit(confidence).alias("confidence"), F.lit(severity).cast("string").alias("severity"), F.lit(script).alias("script"))
+        by_concept.setdefault(concept, []).append(F.struct(*cells))
+    table = F.create_map(*[c for concept, cells in by_concept.items() for c in (F.lit(concept), F.array(*cells))])
+    rows = called.select("*", F.explode(F.try_element_at(table, F.col("concept"))).alias("b")).where(F.col("b.script") | ~F.col("language").isin(*SCRIPT_LANGUAGES))
     if in_loops is None:
         rows = rows.withColumn("looped", F.lit(False))
     else:

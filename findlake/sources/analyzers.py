@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions.paths import basename, extension, is_ignored_path, to_repository_path
 from findlake.functions.severity import severity_from_level, severity_from_score
-from findlake.functions.text import trim_space
+from findlake.functions.text import bound, trim_space
 
 # --- fixed values: rule prefixes and the category they decide, first match wins ---
 ESLINT_CATEGORIES = (
@@ -255,13 +255,17 @@ PHPSTAN = "struct<result:string,errors:string,general_errors:string,files:map<st
 
 
 def _phpstan_fault(content: Column) -> Column:
-    document = F.from_json(json_start(content), PHPSTAN)
+    """A run that did not finish says nothing about the code, so it is a fault."""
     listed = lambda c: F.coalesce(F.from_json(F.when(c.startswith("["), c), "array<string>"), F.array().cast("array<string>"))
-    problem = F.try_element_at(F.concat(listed(document["errors"]), listed(document["general_errors"])), F.lit(1))
-    return (
-        F.when(problem.isNotNull(), F.concat(F.lit("PHPStan could not finish: "), F.element_at(F.split(problem, "\n"), 1)))
-        .when((document["result"] == "failed") & document["files"].isNull(), "PHPStan reported a failed run without saying why")
-    )
+
+    def judge(document: Column) -> Column:
+        problem = F.try_element_at(F.concat(listed(document["errors"]), listed(document["general_errors"])), F.lit(1))
+        return (
+            F.when(problem.isNotNull(), F.concat(F.lit("PHPStan could not finish: "), F.element_at(F.split(problem, "\n"), 1)))
+            .when((document["result"] == "failed") & document["files"].isNull(), "PHPStan reported a failed run without saying why")
+        )
+
+    return bound(F.from_json(json_start(content), PHPSTAN), judge)
 
 
 def read_phpstan(reports: DataFrame) -> DataFrame:
@@ -294,7 +298,10 @@ class Adapter:
 
 def _unreadable(schema: str, start: Callable[[Column], Column]) -> Callable[[Column], Column]:
     def fault(content: Column) -> Column:
-        return F.when(start(content).isNull(), "no JSON document in the output").when(F.from_json(start(content), schema).isNull(), "output not understood")
+        def judge(text: Column) -> Column:
+            return F.when(text.isNull(), "no JSON document in the output").when(F.from_json(text, schema).isNull(), "output not understood")
+
+        return bound(start(content), judge)
 
     return fault
 
