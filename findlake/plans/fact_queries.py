@@ -47,8 +47,9 @@ def secret_candidates(spark, sf_dir):
 @query(
     "call_concepts",
     """WITH calls AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, replace(p_name, ' ', '.') AS callee FROM lineitem JOIN part ON p_partkey = l_partkey),
-t(concept, ord, re, arg) AS (VALUES ('paint', 0, '^red\\.widget$', 1), ('paint', 1, '^.*\\.gear$', 0), ('paint', 2, '^red\\..*$', 2), ('size', 3, '^small\\..*$', 0), ('size', 4, '^(small|large)\\.ring$', 3), ('any-bolt', 5, '^.*bolt$', 0))
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concept, arg_min(arg, ord)::INTEGER AS argument FROM calls JOIN t ON regexp_matches(callee, re) GROUP BY 1, 2, 3, 4, 5""".replace("\\\\", "\\"),
+t(concept, ord, re, arg) AS (VALUES ('paint', 0, '^red\\.widget$', 1), ('paint', 1, '^.*\\.gear$', 0), ('paint', 2, '^red\\..*$', 2), ('size', 3, '^small\\..*$', 0), ('size', 4, '^(small|large)\\.ring$', 3), ('any-bolt', 5, '^.*bolt$', 0)),
+h AS (SELECT callee, concept, arg_min(arg, ord)::INTEGER AS argument FROM (SELECT DISTINCT callee FROM calls) JOIN t ON regexp_matches(callee, re) GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concept, argument FROM calls JOIN h ON h.callee = calls.callee""".replace("\\\\", "\\"),
 )
 def call_concepts(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("callee"))
