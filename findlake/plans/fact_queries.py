@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions import secrets
 from findlake.functions.directives import parse_directives, suppression_comment
-from findlake.operators import accept, context, coverage, envdocs, ledger as L, quality, rules, semantic
+from findlake.operators import accept, context, coverage, envdocs, quality, rules, semantic
 from findlake.plans.registry import query
 from findlake.plans.tables import FINDINGS_SQL, LEDGER_SQL, LINES_SQL, findings, ledger, lines, table, texts
 
