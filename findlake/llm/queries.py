@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import exact_dedup, sharding, url_filter
+from findlake.llm import exact_dedup, pii, sentencepiece_bpe, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_pii")
+def op1(spark, sf_dir):
+    """``n_*`` count the plain spans, as ``base_sha256`` lists them; ``spans`` and ``n_disguised`` have the disguised ones too."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: ~s["disguised"])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["disguised"])).cast("long").alias("n_disguised"),
+    )
+
+
 @_query("op2_sharding")
 def op2(spark, sf_dir):
     shards = sharding.stratified_shards(_table(spark, sf_dir, "documents"), shards=24)
@@ -52,3 +71,9 @@ URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 @_query("op8_url_filter")
 def op8(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_query("op10_sentencepiece")
+def op10(spark, sf_dir):
+    coded = sentencepiece_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
