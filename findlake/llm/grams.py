@@ -127,3 +127,26 @@ def slices(sizes: Iterable[int], most: int = 4 << 20) -> Iterator[tuple[int, int
         total += size
     if i >= start:
         yield start, i + 1
+
+
+def stems(texts: Iterable[str | None], lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every word and of its first bytes in each of ``lengths`` that it has."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    found, owner = [], []
+    for i, body in enumerate(parts):
+        for at in range(0, len(body), _BLOCK):
+            block = np.frombuffer(body[at : at + _BLOCK].lower(), np.uint8)
+            word = ~_SPACE[block]
+            edges = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
+            starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            sums = np.zeros(len(block) + 1, U64)
+            np.cumsum(_BYTE[block] * _FORTH[: len(block)], out=sums[1:])
+            for length in (None, *lengths):
+                a, b = (starts, ends) if length is None else (starts[ends - starts >= length], None)
+                if b is None:
+                    b = a + length
+                found.append(mix((sums[b] - sums[a]) * _BACK[a] + (b - a).astype(U64)))
+                owner.append(np.full(len(a), i))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    return np.concatenate(owner), np.concatenate(found)
