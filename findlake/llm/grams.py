@@ -18,6 +18,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_MARKS = np.zeros(256, bool)
+_MARKS[:128] = [not chr(c).isalnum() for c in range(128)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,12 +44,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 _FORTH, _BACK = _powers(_BASE, _BLOCK + 1), _powers(_INVERSE, _BLOCK + 1)
 
 
-def _block_hashes(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_hashes(block: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word of a block that begins and ends at a word boundary."""
     forth, back = _FORTH, _BACK
     if len(block) > _BLOCK:  # one word longer than a block
         forth, back = _powers(_BASE, len(block) + 1), _powers(_INVERSE, len(block) + 1)
-    word = ~_SPACE[block]
+    word = ~between[block]
     edges = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     sums = np.zeros(len(block) + 1, U64)
@@ -55,8 +57,10 @@ def _block_hashes(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64))
 
 
-def words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words of each text); a null text has none."""
+def words(texts: Iterable[str | None], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words of each text); a null text has none. With ``plain`` every ASCII
+    character other than a letter or digit stands between words."""
+    between = _MARKS if plain else _SPACE
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     if not parts:
         return np.zeros(0, U64), np.zeros(0, np.int64)
@@ -69,13 +73,13 @@ def words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         end = min(i + _BLOCK, len(buf))
         if end < len(buf):
             if spaces is None:
-                spaces = np.flatnonzero(_SPACE[buf])
+                spaces = np.flatnonzero(between[buf])
             k = int(np.searchsorted(spaces, end)) - 1
             if k >= 0 and spaces[k] > i:
                 end = int(spaces[k])
             else:
                 end = int(spaces[k + 1]) if k + 1 < len(spaces) else len(buf)
-        starts, hashes = _block_hashes(buf[i:end])
+        starts, hashes = _block_hashes(buf[i:end], between)
         at.append(starts + i)
         found.append(hashes)
         i = end

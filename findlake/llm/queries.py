@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import exact_dedup, pii, sentencepiece_bpe, sharding, toxicity, url_filter
+from findlake.llm import decontaminate, exact_dedup, pii, sentencepiece_bpe, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +87,11 @@ def op8(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@_query("op9_decontamination")
+def op9(spark, sf_dir):
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query("op10_sentencepiece")
 def op10(spark, sf_dir):
     coded = sentencepiece_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
