@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         groups = split.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
         twins = written(groups.where("n > 1").select("node", "digit", "n", "first", F.monotonically_increasing_id().alias("next")), "radix-groups")
         ended = F.length("digit") < width
-        step = split.join(twins, ["node", "digit"], "left").select(
+        step = split.join(twins.hint("merge"), ["node", "digit"], "left").select(
             "doc_id",
             "sha",
             F.coalesce("next", F.lit(-1)).alias("node"),
