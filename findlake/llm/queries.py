@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, exact_dedup, pii, sentencepiece_bpe, sharding, toxicity, url_filter
+from findlake.llm import decontaminate, exact_dedup, jaccard, pii, sentencepiece_bpe, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +79,11 @@ def op3(spark, sf_dir):
     return scored.select("doc_id", (~toxicity.learning_part(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+@_query("op7_jaccard")
+def op7(spark, sf_dir):
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
