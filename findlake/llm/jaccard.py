@@ -229,7 +229,7 @@ def _rooted(postings: DataFrame, links: DataFrame | None) -> DataFrame:
     return postings.join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 1) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
     A document's set is its distinct shingles of five words, its whole word sequence if it has
