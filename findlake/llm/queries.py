@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, exact_dedup, jaccard, pii, sentencepiece_bpe, sharding, toxicity, url_filter
+from findlake.llm import decontaminate, exact_dedup, jaccard, pii, sentencepiece_bpe, sharding, toxicity, url_filter, web_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +79,14 @@ def op3(spark, sf_dir):
     return scored.select("doc_id", (~toxicity.learning_part(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+@_query("op6_web_archive")
+def op6(spark, sf_dir):
+    rows = web_archive.archived(_table(spark, sf_dir, "pages"))
+    return rows.select(
+        F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"), "record_id"
+    )
+
+
 @_query("op7_jaccard")
 def op7(spark, sf_dir):
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
