@@ -21,7 +21,8 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the ids in ``gone``; joined the same way at every size."""
-    return docs.join(gone.select(F.col("doc_id").alias("gone")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    gone = gone.select("doc_id").hint("merge")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, exact_dedup, jaccard, pii, sentencepiece_bpe, sharding, toxicity, url_filter, web_archive
+from findlake.llm import decontaminate, exact_dedup, jaccard, language_model, pii, sentencepiece_bpe, sharding, toxicity, url_filter, web_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +79,29 @@ def op3(spark, sf_dir):
     return scored.select("doc_id", (~toxicity.learning_part(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+@_query(
+    "op5_language_model",
+    r"""
+WITH listed AS (
+  SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') AS ws
+  FROM documents
+), w AS (SELECT * FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM listed) WHERE word <> ''),
+one AS (SELECT word, count(*) AS c FROM w GROUP BY word), tot AS (SELECT count(*) AS n FROM w),
+p AS (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM w),
+two AS (SELECT prev, word, count(*) AS c FROM p WHERE prev IS NOT NULL GROUP BY prev, word),
+own AS (SELECT doc_id, prev, word, count(*) AS k FROM p WHERE prev IS NOT NULL GROUP BY doc_id, prev, word),
+parts AS (
+  SELECT doc_id, k * CASE WHEN two.c > k THEN round(ln((two.c - k) / a.c) * 1000000) ELSE round(ln(0.4 * b.c / n) * 1000000) END AS part
+  FROM own JOIN two USING (prev, word) JOIN one a ON a.word = own.prev JOIN one b ON b.word = own.word, tot
+  UNION ALL SELECT doc_id, round(ln(0.4 * one.c / n) * 1000000) - round(ln(0.4) * 1000000) FROM p JOIN one USING (word), tot WHERE prev IS NULL
+), total AS (SELECT doc_id, sum(part) AS s FROM parts GROUP BY doc_id)
+SELECT doc_id, coalesce(m, 0) AS n_words, CAST(coalesce(s, 0) AS BIGINT) AS log_score, CAST(s AS DOUBLE) / 1000000.0::DOUBLE / m AS score
+FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM w GROUP BY doc_id) USING (doc_id)""",
+)
+def op5(spark, sf_dir):
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 @_query("op6_web_archive")
 def op6(spark, sf_dir):
     rows = web_archive.archived(_table(spark, sf_dir, "pages"))

@@ -123,10 +123,9 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: ``page_id, host, path, rule, verdict, score``.
 
-    Null urls and urls without ``://`` have an empty host and path and no score. A url without a
-    score, or judged while the rules decide no url or only one way, is allowed if its score is at
-    least 0, a missing score counting as 0. Ids may repeat or be null. An empty table gives an empty
-    result.
+    Null urls and urls without ``://`` have an empty host and path and no score; they are allowed.
+    Where the rules decide no url, or only one way, the threshold is 0. Ids may repeat or be null.
+    An empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = rows.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
@@ -135,5 +134,5 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     weights = _weights(rows.where("verdict is not null"))
     scored = rows.join(scores(rows, weights), "url", "left")
     cut = threshold(scored)
-    decided = F.coalesce("verdict", F.when(F.coalesce("score", F.lit(0.0)) >= cut, "allow").otherwise("block"))
+    decided = F.coalesce("verdict", F.when(F.col("score") < cut, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", decided.alias("verdict"), (F.col("score") / UNIT).alias("score"))
