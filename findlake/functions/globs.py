@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from findlake.functions.text import after
+
 _SPECIAL = set(".\\+()[]{}^$|")
 
 
@@ -72,7 +74,7 @@ def owner_rule_columns(pattern: Column) -> dict[str, Column]:
     key = (
         F.when(anchored & (leading > 0), F.concat(F.lit("a|"), F.array_join(F.slice(segments, F.lit(1), leading), "/")))
         .when(~anchored & ~last_is_glob, F.concat(F.lit("s|"), last))
-        .when(~anchored & last.rlike(r"^\*\.[^*?]+$"), F.concat(F.lit("x|"), F.substring(last, 2, 1000)))
+        .when(~anchored & last.rlike(r"^\*\.[^*?]+$"), F.concat(F.lit("x|"), after(last, 1)))
         .otherwise("any")
     )
     return {"regex": regex, "lookup": key, "segments": segments}
@@ -90,7 +92,7 @@ def path_lookups(path: Column) -> Column:
         F.size(dots) > 1,
         F.transform(
             F.sequence(F.lit(2), F.greatest(F.size(dots), F.lit(2))),
-            lambda n: F.concat(F.lit("x|."), F.array_join(F.slice(dots, n, F.lit(1000)), ".")),
+            lambda n: F.concat(F.lit("x|."), F.array_join(F.slice(dots, n, F.size(dots)), ".")),
         ),
     ).otherwise(F.array().cast("array<string>"))
     return F.concat(ancestors, names, suffixes, F.array(F.lit("any")))

@@ -33,6 +33,11 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def after(text: Column, n: int) -> Column:
+    """What follows the first ``n`` characters."""
+    return F.substring(text, F.lit(n + 1), F.length(text))
+
+
 def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACE_CHARS))
 
@@ -105,14 +110,16 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(text, f"{_SPACE}+", "")
 
 
-def clip(text: Column, limit: int) -> Column:
-    """White space collapsed, cut at ``limit`` characters."""
-    return F.substring(trim_space(F.regexp_replace(text, f"{_SPACE}+", " ")), 1, limit)
+def clip(text: Column, limit: int | None = None) -> Column:
+    """White space collapsed; cut at ``limit`` characters where a caller shows an excerpt."""
+    flat = trim_space(F.regexp_replace(text, f"{_SPACE}+", " "))
+    return flat if limit is None else F.substring(flat, 1, limit)
 
 
-def slug(title: Column, limit: int = 40) -> Column:
-    dashed = F.regexp_replace(F.lower(title), r"[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, limit)
+def slug(title: Column, limit: int | None = None) -> Column:
+    """Lower-case words joined by hyphens; cut only where a caller shows a short name."""
+    dashed = F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    return dashed if limit is None else F.substring(dashed, 1, limit)
 
 
 def verdict_word(text: Column) -> Column:

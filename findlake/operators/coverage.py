@@ -10,7 +10,7 @@ from findlake.operators.ordered import top_per_key
 STATUSES = ("checked", "partial", "parsed-only", "not-covered")
 
 
-def skips_by_reason(skipped: DataFrame, examples: int = 5) -> DataFrame:
+def skips_by_reason(skipped: DataFrame, examples: int) -> DataFrame:
     """Skipped files per reason with the first few paths: rows (path, ord, reason)."""
     counts = skipped.groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
     shown = (

@@ -12,7 +12,7 @@ from findlake.functions.fixed import KNOWN_TOKEN_MARKS, KNOWN_TOKEN_PATTERNS
 from findlake.functions.identity import content_anchor
 from findlake.functions.paths import basename, extension, is_test_path
 from findlake.functions.secrets import named_literals
-from findlake.functions.text import ascii_words, excerpt, first_sentence, holds_known_token
+from findlake.functions.text import after, ascii_words, excerpt, first_sentence, holds_known_token
 from findlake.operators.ordered import first_per_key
 
 # --- fixed values: rule, concept, when a call is reported, confidence, severity (null = the rule's),
@@ -127,16 +127,14 @@ def with_excerpt(hits: DataFrame) -> DataFrame:
     return hits.withColumn("excerpt", cited).withColumn("anchor", content_anchor(cited))
 
 
-def expand_braces(entries: DataFrame, rounds: int = 4) -> DataFrame:
-    """``{a,b}`` stands for each alternative; ``entries`` carries the text in ``entry``."""
+def expand_braces(entries: DataFrame) -> DataFrame:
+    """``{a,b}`` stands for each alternative, in any number of places; ``entries`` carries the text
+    in ``entry``. The parts of an entry are folded inside its row."""
     rest = [c for c in entries.columns if c != "entry"]
-    shape = r"(?s)^([^{]*)\{([^}]*)\}(.*)$"
-    for _ in range(rounds):
-        options = F.when(F.col("entry").rlike(shape), F.split(F.regexp_extract("entry", shape, 2), ",")).otherwise(F.array(F.lit("")))
-        opened = entries.select(*rest, "entry", F.explode(options).alias("option"))
-        filled = F.concat(F.regexp_extract("entry", shape, 1), "option", F.regexp_extract("entry", shape, 3))
-        entries = opened.select(*rest, F.when(F.col("entry").rlike(shape), filled).otherwise(F.col("entry")).alias("entry"))
-    return entries
+    parts = F.regexp_extract_all("entry", F.lit(r"(?s)(\{[^}]*\}|[^{]+|\{)"), F.lit(1))
+    options = F.transform(parts, lambda p: F.when(p.rlike(r"(?s)^\{.*\}\z"), F.split(F.substring(p, F.lit(2), F.length(p) - 2), ",")).otherwise(F.array(p)))
+    grown = F.aggregate(options, F.array(F.lit("")), lambda done, next_: F.flatten(F.transform(done, lambda d: F.transform(next_, lambda n: F.concat(d, n)))))
+    return entries.select(*rest, F.explode(grown).alias("entry"))
 
 
 def compile_concepts(table: DataFrame) -> DataFrame:
@@ -147,7 +145,7 @@ def compile_concepts(table: DataFrame) -> DataFrame:
     name = F.element_at(F.split("entry", "@"), 1)
     argument = F.coalesce(F.try_element_at(F.split("entry", "@"), F.lit(2)).try_cast("int"), F.lit(0))
     escaped = F.regexp_replace("name", r"([.\\+()\[\]{}^$|?])", r"\\$1")
-    method = F.substring("name", 7, 1000)
+    method = after(F.col("name"), 6)
     class_like = F.concat(F.lit(r"^(?:.*\.)?(?=[^.]*\p{Ll})\p{Lu}[^.]*\."), F.regexp_replace(method, r"([.\\+()\[\]{}^$|?])", r"\\$1"), F.lit("$"))
     regex = F.when(F.col("name").startswith("Class."), class_like).otherwise(F.concat(F.lit("(?s)^"), F.regexp_replace(escaped, r"\*", ".*"), F.lit("$")))
     last = F.element_at(F.split("name", r"\."), -1)

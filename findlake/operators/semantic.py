@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.functions.paths import is_secret_file
@@ -16,8 +16,8 @@ from findlake.functions.severity import severity_rank
 from findlake.functions.text import clip, scrub_quoted, slug, squash, verdict_word
 from findlake.operators.ordered import first_per_key, numbered, top_per_key
 
-# --- fixed values: limits of one pass, and verdict words ---
-MAX_CANDIDATES, MAX_FILES, MAX_LINES, MAX_ISSUES, RADIUS, MAX_FAILURES = 10, 3, 250, 8, 8, 3
+# --- fixed values: lines shown around a finding, and verdict words ---
+RADIUS = 8
 REAL = ("real", "true_positive", "confirmed", "yes")
 UNSURE = ("unsure", "unknown", "unclear")
 FALSE = ("false_positive", "fp", "not_real", "no")
@@ -34,9 +34,12 @@ def is_candidate(findings: DataFrame) -> DataFrame:
     )
 
 
-def candidates(findings: DataFrame, n: int = MAX_CANDIDATES) -> DataFrame:
-    """The most severe ``n`` candidates per repository."""
-    return top_per_key(findings, ["repo"], [severity_rank(F.col("severity")), F.col("ord")], n)
+def candidates(findings: DataFrame, n: int | None = None) -> DataFrame:
+    """Candidates by severity within their repository, the first ``n`` where a caller limits a pass."""
+    order = [severity_rank(F.col("severity")), F.col("ord")]
+    if n is not None:
+        return top_per_key(findings, ["repo"], order, n)
+    return findings.withColumn("position", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
 
 
 def windows(points: DataFrame, lines: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -92,9 +95,9 @@ def verdicts(replies: DataFrame, view: DataFrame) -> DataFrame:
     """Verdict per reply (repo, file, line, reply). "False positive" must quote a shown line other
     than the flagged one; a doubt that cannot be grounded is unsure; anything else is null."""
     document = embedded_object(F.col("reply"))
-    field = lambda n, k: clip(F.coalesce(F.get_json_object(document, f"$.{n}"), F.lit("")), k)
+    field = lambda n: clip(F.coalesce(F.get_json_object(document, f"$.{n}"), F.lit("")))
     read = replies.select(
-        "*", verdict_word(field("verdict", 40)).alias("word"), field("reason", 300).alias("reason"), squash(field("proof", 200)).alias("proof"), document.isNotNull().alias("usable")
+        "*", verdict_word(field("verdict")).alias("word"), field("reason").alias("reason"), squash(field("proof")).alias("proof"), document.isNotNull().alias("usable")
     )
     doubts = read.where(F.col("word").isin(*FALSE) & (F.length("proof") >= 4))
     shown = view.select("repo", "file", "line", "n", squash(F.col("text")).alias("code"))
@@ -121,18 +124,18 @@ ISSUES = "array<struct<line:string,quote:string,title:string,why:string,category
 
 def claims(replies: DataFrame, lines: DataFrame, existing: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     """Claims of detection replies (repo, file, reply) with ``status`` detected, rejected, repeated
-    or known. A claim needs its quote on the claimed line; the first eight of a reply are read.
+    or known. A claim needs its whole quote on the claimed line.
     ``shown`` (repo, file, line) limits the lines the model was given."""
     document = embedded_object(F.col("reply"))
-    listed = F.slice(F.from_json(F.get_json_object(document, "$.issues"), ISSUES), 1, MAX_ISSUES)
+    listed = F.from_json(F.get_json_object(document, "$.issues"), ISSUES)
     rows = replies.select("repo", "file", F.posexplode(listed).alias("pos", "i")).select(
         "repo",
         "file",
         "pos",
         F.col("i.line").try_cast("int").alias("line"),
-        clip(F.coalesce("i.quote", F.lit("")), 200).alias("quote"),
-        clip(F.coalesce("i.title", F.lit("")), 120).alias("title"),
-        clip(F.coalesce("i.why", F.lit("")), 400).alias("why"),
+        clip(F.coalesce("i.quote", F.lit(""))).alias("quote"),
+        clip(F.coalesce("i.title", F.lit(""))).alias("title"),
+        clip(F.coalesce("i.why", F.lit(""))).alias("why"),
         F.when(F.col("i.category").isin(*CATEGORIES), F.col("i.category")).otherwise("reliability").alias("category"),
         F.when(F.col("i.severity") == "low", "low").otherwise("medium").alias("severity"),
     )
@@ -156,7 +159,7 @@ def claims(replies: DataFrame, lines: DataFrame, existing: DataFrame, shown: Dat
     return placed.select("repo", "file", "line", "pos", "title", "why", "category", "severity", F.concat(F.lit("semantic:"), "topic").alias("rule_id"), status.alias("status"))
 
 
-def before_failures(attempts: DataFrame, limit: int = MAX_FAILURES) -> DataFrame:
+def before_failures(attempts: DataFrame, limit: int) -> DataFrame:
     """Attempts of a pass up to and including its ``limit``-th failure in a row: repo, ord, failed.
 
     Each failure marks its own position and the ``limit - 1`` after it; a position marked

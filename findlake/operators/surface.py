@@ -190,9 +190,10 @@ def one_surface_per_module(surfaces: DataFrame) -> DataFrame:
     return surfaces.join(best, ["repo", "module"]).where("priority = best").drop("best")
 
 
-def manifest_targets(manifests: DataFrame, depth: int = 4) -> DataFrame:
+def manifest_targets(manifests: DataFrame) -> DataFrame:
     """``exports`` of each package manifest (repo, module, content) as ranked targets per subpath:
-    conditions a tool picks first come first, nested conditions inside their parent's place.
+    conditions a tool picks first come first, nested conditions and listed alternatives inside
+    their parent's place, to any depth: a level is opened until none is nested.
     Without ``exports``: types, typings, module, main."""
     text = F.get_json_object("content", "$.exports")
     rows = manifests.select("repo", "module", "content", text.alias("exports"))
@@ -206,14 +207,21 @@ def manifest_targets(manifests: DataFrame, depth: int = 4) -> DataFrame:
 
     open_rows = by_path.unionByName(single).where("NOT subpath LIKE '%*%'").withColumn("rank", F.array().cast("array<struct<place:int,name:string>>"))
     leaves = None
-    for _ in range(depth):
-        nested = F.col("value").startswith("{")
-        done = open_rows.where(~nested)
+    nested, listing = F.col("value").startswith("{"), F.col("value").startswith("[")
+    while True:
+        level = materialize(open_rows.select("repo", "module", "subpath", "rank", "value"), "targets")
+        done = level.where(~nested & ~listing)
         leaves = done if leaves is None else leaves.unionByName(done)
-        inner = open_rows.where(nested).select("repo", "module", "subpath", "rank", F.explode(F.from_json("value", kind)).alias("condition", "value"))
+        if level.where(nested | listing).isEmpty():
+            break
+        keys = ("repo", "module", "subpath", "rank")
+        inner = level.where(nested).select(*keys, F.explode(F.from_json("value", kind)).alias("condition", "value"))
         place = F.array_position(names, F.col("condition"))
         position = F.struct(F.when(place == 0, 100).otherwise(place).cast("int").alias("place"), F.col("condition").alias("name"))
-        open_rows = inner.select("repo", "module", "subpath", "value", F.concat("rank", F.array(position)).alias("rank"))
+        inner = inner.select("repo", "module", "subpath", "value", F.concat("rank", F.array(position)).alias("rank"))
+        members = level.where(listing).select(*keys, F.posexplode(F.from_json("value", "array<string>")).alias("at", "value"))
+        turn = F.struct(F.col("at").cast("int").alias("place"), F.lit("").alias("name"))
+        open_rows = inner.unionByName(members.select("repo", "module", "subpath", "value", F.concat("rank", F.array(turn)).alias("rank")))
     plain = rows.where("exports IS NULL").select(
         "repo",
         "module",

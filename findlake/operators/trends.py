@@ -67,13 +67,13 @@ def mean_days_to_resolve(times: DataFrame, now_ms: int, days: int = 30) -> DataF
     )
 
 
-def top(ledger: DataFrame, column: Column, n: int = 5) -> DataFrame:
+def top(ledger: DataFrame, column: Column, n: int) -> DataFrame:
     """Names with most active entries, count descending then name."""
     active = ledger.where(F.col("status").isin(*LEDGER_ACTIVE))
     return active.groupBy(column.alias("name")).agg(F.count(F.lit(1)).alias("open")).orderBy(F.desc("open"), "name").limit(n)
 
 
-def top_per_repo(ledger: DataFrame, column: Column, n: int = 5) -> DataFrame:
+def top_per_repo(ledger: DataFrame, column: Column, n: int) -> DataFrame:
     active = ledger.where(F.col("status").isin(*LEDGER_ACTIVE))
     counts = active.groupBy("repo", column.alias("name")).agg(F.count(F.lit(1)).alias("open"))
     return top_per_key(counts, ["repo"], [F.desc("open"), F.col("name")], n)

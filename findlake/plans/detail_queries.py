@@ -1,5 +1,6 @@
 """Predicates, single functions and smaller operators over the shared tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from findlake.functions import text as T
@@ -54,14 +55,14 @@ def file_kinds(spark, sf_dir):
 @query(
     "text_helpers",
     r"""WITH t AS (SELECT conv_id, turn, text FROM conversations)
-SELECT conv_id, turn, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS slug,
+SELECT conv_id, turn, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS slug, sha256(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS topic_hash,
   left(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), 60) AS clipped, substr(sha256(regexp_replace(text, '\s', '', 'g')), 1, 8) AS squashed,
   regexp_replace(regexp_extract(text, '^[^.\n]*'), '^\s+|\s+$', '', 'g') AS title FROM t""",
 )
 def text_helpers(spark, sf_dir):
     text = F.col("text")
     return texts(spark, sf_dir, "conversations", "conv_id", "turn").select(
-        "conv_id", "turn", T.slug(text).alias("slug"), T.clip(text, 60).alias("clipped"), F.substring(F.sha2(T.squash(text), 256), 1, 8).alias("squashed"), T.first_sentence(text).alias("title")
+        "conv_id", "turn", T.slug(text, 40).alias("slug"), F.sha2(T.slug(text), 256).alias("topic_hash"), T.clip(text, 60).alias("clipped"), F.substring(F.sha2(T.squash(text), 256), 1, 8).alias("squashed"), T.first_sentence(text).alias("title")
     )
 
 
@@ -129,7 +130,7 @@ SELECT a.repo, ord, failed FROM a LEFT JOIN s ON s.repo = a.repo WHERE stop IS N
 )
 def failure_cutoff(spark, sf_dir):
     attempts = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("repo"), F.col("event_id").alias("ord"), F.col("event_type").isin("click", "view").alias("failed"))
-    return semantic.before_failures(attempts)
+    return semantic.before_failures(attempts, 3)
 
 
 @query(
@@ -293,16 +294,15 @@ def applicable_rules(spark, sf_dir):
 
 @query(
     "requested_packs",
-    """WITH e AS (SELECT c_nationkey AS repo, c_mktsegment AS pack, min(c_custkey) AS o FROM customer WHERE c_acctbal > 5000 GROUP BY 1, 2), g AS (SELECT c_nationkey AS repo, c_mktsegment AS pack, min(c_custkey) AS o FROM customer GROUP BY 1, 2),
+    """WITH e AS (SELECT c_nationkey AS repo, c_mktsegment || c_custkey % 40 AS pack, min(c_custkey) AS o FROM customer WHERE c_acctbal > 5000 GROUP BY 1, 2), g AS (SELECT c_nationkey AS repo, c_mktsegment || c_custkey % 40 AS pack, min(c_custkey) AS o FROM customer GROUP BY 1, 2),
 u AS (SELECT repo, pack, 0 AS s, o FROM e UNION ALL SELECT repo, pack, 1, o FROM g), f AS (SELECT repo, pack, min((s, o)) AS k FROM u GROUP BY 1, 2)
 SELECT repo, pack, CAST(row_number() OVER (PARTITION BY repo ORDER BY k) AS INTEGER) AS place FROM f""",
 )
 def requested_packs(spark, sf_dir):
-    from findlake.operators.ordered import top_per_key
-
-    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_mktsegment").alias("pack"), F.col("c_custkey").alias("ord"), "c_acctbal")
+    pack = F.concat("c_mktsegment", (F.col("c_custkey") % 40).cast("string"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("repo"), pack.alias("pack"), F.col("c_custkey").alias("ord"), "c_acctbal")
     found = policy.requested_packs(rows.where("c_acctbal > 5000"), rows)
-    return top_per_key(found, ["repo"], [F.col("order")], 100, out="place").select("repo", "pack", "place")
+    return found.select("repo", "pack", F.row_number().over(Window.partitionBy("repo").orderBy("order")).alias("place"))
 
 
 def _walk_sql(start, states, pairs):
@@ -340,7 +340,7 @@ def session_lifecycle(spark, sf_dir):
     "model_candidates",
     f"""WITH {FINDINGS_SQL}, r(s, n) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('informational', 4)),
 c AS (SELECT f.*, row_number() OVER (PARTITION BY repo ORDER BY n, ord) AS position FROM findings f JOIN r ON s = severity WHERE category <> 'purchase' AND coalesce(rule_id, '') <> 'error')
-SELECT repo, ord, CAST(position AS INTEGER) AS position FROM c WHERE position <= 10""",
+SELECT repo, ord, CAST(position AS INTEGER) AS position FROM c""",
 )
 def model_candidates(spark, sf_dir):
     confidence = F.when(F.col("category") == "purchase", "high").otherwise("low")

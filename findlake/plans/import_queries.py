@@ -170,7 +170,7 @@ UNION ALL SELECT 'c' || c_custkey, './x', 'c' || c_custkey || '/src/x.ts' FROM c
 def package_entrypoints(spark, sf_dir):
     kind = F.col("c_nationkey") % 4
     content = (
-        F.when(kind == 0, '{"exports":{".":{"custom":"./dist/other.js","import":"./dist/index.js","types":"./gone.d.ts"},"./x":"./src/x.ts","./*":"./src/*"}}')
+        F.when(kind == 0, '{"exports":{".":{"custom":"./dist/other.js","import":{"node":{"import":{"node":{"import":{"default":["./gone.js","./dist/index.js"]}}}}},"types":"./gone.d.ts"},"./x":"./src/x.ts","./*":"./src/*"}}')
         .when(kind == 1, '{"main":"lib/main.js"}')
         .when(kind == 2, '{"name":"plain"}')
         .otherwise('{"exports":{"./x":"./src/x.ts"}}')

@@ -300,8 +300,8 @@ SELECT * FROM f UNION ALL SELECT * FROM r""",
 )
 def top_files_rules(spark, sf_dir):
     entries = ledger(spark, sf_dir)
-    by_file = trends.top(entries, F.col("file")).select(F.lit("file").alias("kind"), "name", "open")
-    by_rule = trends.top(entries, F.coalesce("rule_id", "category")).select(F.lit("rule").alias("kind"), "name", "open")
+    by_file = trends.top(entries, F.col("file"), 5).select(F.lit("file").alias("kind"), "name", "open")
+    by_rule = trends.top(entries, F.coalesce("rule_id", "category"), 5).select(F.lit("rule").alias("kind"), "name", "open")
     return by_file.unionByName(by_rule)
 
 
@@ -314,7 +314,7 @@ SELECT repo, name, open, CAST(position AS INTEGER) AS position FROM (
     WHERE status IN ('open', 'acknowledged', 'reopened') GROUP BY 1, 2)) WHERE position <= 5""",
 )
 def top_rules_per_repo(spark, sf_dir):
-    return trends.top_per_repo(ledger(spark, sf_dir), F.coalesce("rule_id", "category")).select("repo", "name", "open", "position")
+    return trends.top_per_repo(ledger(spark, sf_dir), F.coalesce("rule_id", "category"), 5).select("repo", "name", "open", "position")
 
 
 @query(

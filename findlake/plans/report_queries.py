@@ -126,20 +126,19 @@ def github_annotations(spark, sf_dir):
     "markdown_rows",
     f"""WITH {FINDINGS_SQL},
 r(s, n) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('informational', 4)),
-ranked AS (SELECT f.*, row_number() OVER (PARTITION BY repo ORDER BY r.n, ord) AS position, count(*) OVER (PARTITION BY repo) AS total FROM findings f JOIN r ON r.s = severity),
+ranked AS (SELECT f.*, r.n FROM findings f JOIN r ON r.s = severity),
 counts AS (SELECT repo, count(*) AS total, array_to_string(list_filter([
   CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN count(*) FILTER (severity = 'critical') || ' critical' END,
   CASE WHEN count(*) FILTER (severity = 'high') > 0 THEN count(*) FILTER (severity = 'high') || ' high' END,
   CASE WHEN count(*) FILTER (severity = 'medium') > 0 THEN count(*) FILTER (severity = 'medium') || ' medium' END,
   CASE WHEN count(*) FILTER (severity = 'low') > 0 THEN count(*) FILTER (severity = 'low') || ' low' END,
   CASE WHEN count(*) FILTER (severity = 'informational') > 0 THEN count(*) FILTER (severity = 'informational') || ' informational' END], lambda x: x IS NOT NULL), ', ') AS parts FROM findings GROUP BY 1)
-SELECT repo, 1 AS section, position AS ord, '| ' || severity || ' | `' || file || ':' || line || '` | ' || title || ' | ' || coalesce(rule_id, category) || ' |' AS text FROM ranked WHERE position <= 40
+SELECT repo, n + 1 AS section, ord, '| ' || severity || ' | `' || file || ':' || line || '` | ' || title || ' | ' || coalesce(rule_id, category) || ' |' AS text FROM ranked
 UNION ALL SELECT repo, 0, 3, '**' || total || ' findings**: ' || parts FROM counts
-UNION ALL SELECT repo, 2, 0, '…and ' || (total - 40) || ' more.' FROM counts WHERE total > 40""",
+UNION ALL SELECT repo, 0, i, t FROM counts, (VALUES (0, '<!-- findings-report -->'), (1, '## Review findings'), (2, ''), (4, ''), (5, '| Severity | Where | Finding | Rule |'), (6, '| --- | --- | --- | --- |')) AS h(i, t)""",
 )
 def markdown_rows(spark, sf_dir):
-    rows = reports.markdown_report(findings(spark, sf_dir))
-    return rows.where("section <> 0 OR ord = 3").select("repo", "section", "ord", "text")
+    return reports.markdown_report(findings(spark, sf_dir)).select("repo", "section", "ord", "text")
 
 
 @query(

@@ -13,7 +13,6 @@ from findlake.functions import fixed
 from findlake.functions.identity import content_anchor
 from findlake.operators.ledger import sync
 from findlake.schemas import LEDGER
-from findlake.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """A text table spread over the cores: pattern work on it is bound by CPU."""
-    return spread(table(spark, sf_dir, name), *keys)
+    """A text table; ``keys`` name its rows."""
+    return table(spark, sf_dir, name)
 
 
 def findings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

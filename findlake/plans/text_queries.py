@@ -88,5 +88,5 @@ FROM ranked WHERE rn <= 5 GROUP BY reason""",
 def skip_examples(spark, sf_dir):
     size = F.col("n_chars")
     skipped = files(spark, sf_dir).select("path", F.col("doc_id").alias("ord"), F.when(size > 4000, "too-large").when(size < 40, "too-small").alias("reason"))
-    out = coverage.skips_by_reason(skipped.where("reason IS NOT NULL"))
+    out = coverage.skips_by_reason(skipped.where("reason IS NOT NULL"), 5)
     return out.select("reason", "files", F.array_join("examples", ",").alias("examples"))

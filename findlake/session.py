@@ -56,10 +56,3 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core for row-local, CPU-heavy work on input that arrives in few splits (one
-    row group, one small file). Input with at least one split per core is left as it is, so a
-    large scan never shuffles for this. Hashing on ``keys`` keeps a retried task's rows the same."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

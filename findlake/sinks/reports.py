@@ -18,7 +18,6 @@ from findlake.operators.ordered import top_per_key
 GITLAB = {"informational": "info", "low": "minor", "medium": "major", "high": "critical", "critical": "blocker"}
 ANNOTATION = {"critical": "error", "high": "error", "medium": "warning", "low": "notice", "informational": "notice"}
 SARIF_LEVEL = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "informational": "note"}
-MARKDOWN_ROWS = 40
 MARKER = "<!-- findings-report -->"
 
 
@@ -133,23 +132,27 @@ def _place() -> Column:
     return F.concat("file", F.when(F.col("line").isNotNull(), F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""))
 
 
-def markdown_report(findings: DataFrame, rows: int = MARKDOWN_ROWS) -> DataFrame:
-    """A comment: counts first, the most serious rows in a table, how many more there are."""
+def markdown_report(findings: DataFrame, rows: int | None = None) -> DataFrame:
+    """A comment: counts first, then the findings in a table, the most serious first. With ``rows``
+    only so many, and how many more there are."""
     counted = findings.groupBy("repo").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
     )
     parts = F.array_compact(F.array(*[F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s in SEVERITIES]))
     total = F.concat(F.lit("**"), F.col("n").cast("string"), F.when(F.col("n") == 1, " finding**: ").otherwise(" findings**: "), F.array_join(parts, ", "))
     head = F.array(F.lit(MARKER), F.lit("## Review findings"), F.lit(""), total, F.lit(""), F.lit("| Severity | Where | Finding | Rule |"), F.lit("| --- | --- | --- | --- |"))
-    top = top_per_key(findings, ["repo"], [severity_rank(F.col("severity")), F.col("ord")], rows)
+    order = [severity_rank(F.col("severity")), F.col("ord")]
+    top = findings if rows is None else top_per_key(findings, ["repo"], order, rows)
     row = F.concat(F.lit("| "), "severity", F.lit(" | `"), _cell(_place()), F.lit("` | "), _cell(F.col("title")), F.lit(" | "), _cell(rule_name()), F.lit(" |"))
-    more = F.concat(F.lit("…and "), (F.col("n") - rows).cast("string"), F.lit(" more."))
-    return (
+    page = (
         counted.select("repo", F.lit(0).alias("section"), F.posexplode(head).alias("ord", "text"))
         .withColumn("ord", F.col("ord").cast("long"))
-        .unionByName(top.select("repo", F.lit(1).alias("section"), F.col("position").cast("long").alias("ord"), row.alias("text")))
-        .unionByName(counted.where(F.col("n") > rows).select("repo", F.lit(2).alias("section"), F.lit(0).cast("long").alias("ord"), more.alias("text")))
+        .unionByName(top.select("repo", (severity_rank(F.col("severity")) + 1).cast("int").alias("section"), F.col("ord").cast("long").alias("ord"), row.alias("text")))
     )
+    if rows is None:
+        return page
+    more = F.concat(F.lit("…and "), (F.col("n") - rows).cast("string"), F.lit(" more."))
+    return page.unionByName(counted.where(F.col("n") > rows).select("repo", F.lit(len(SEVERITIES) + 1).alias("section"), F.lit(0).cast("long").alias("ord"), more.alias("text")))
 
 
 def text_report(findings: DataFrame) -> DataFrame:

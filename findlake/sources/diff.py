@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findlake.functions.text import after
+
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -25,7 +27,7 @@ class Diff:
 
 def unquote(text: Column) -> Column:
     """Git's C-style quoting: escapes and octal bytes, through percent-encoding."""
-    inner = F.substring(text, 2, 1_000_000)
+    inner = after(text, 1)
     inner = F.regexp_replace(inner, r'"\z', "")
     tokens = F.regexp_extract_all(inner, F.lit(r"(?s)(\\[0-3][0-7]{0,2}|\\.|[^\\]+|\\\z)"), F.lit(1))
 
@@ -52,10 +54,10 @@ def git_header_path(rest: Column) -> Column:
     half = F.floor(F.length(rest) / 2).cast("int")
     a = F.substring(rest, F.lit(1), half)
     b = F.substring(rest, half + 2, F.length(rest))
-    same = (F.length(rest) % 2 == 1) & a.startswith("a/") & b.startswith("b/") & (F.substring(a, 3, 1_000_000) == F.substring(b, 3, 1_000_000))
+    same = (F.length(rest) % 2 == 1) & a.startswith("a/") & b.startswith("b/") & (after(a, 2) == after(b, 2))
     quoted = F.regexp_replace(unquote(F.regexp_extract(rest, r'^"(?:[^"\\]|\\.)*"\s*(.*)\z', 1)), r"^b/", "")
     return (
-        F.when(rest.startswith('"'), quoted).when(same, F.substring(b, 3, 1_000_000)).otherwise(F.regexp_extract(rest, r"^.* b/(.*)\z", 1))
+        F.when(rest.startswith('"'), quoted).when(same, after(b, 2)).otherwise(F.regexp_extract(rest, r"^.* b/(.*)\z", 1))
     )
 
 
@@ -147,7 +149,7 @@ def parse(diffs: DataFrame, keys: list[str], text: str = "diff") -> Diff:
 
     in_file = Window.partitionBy(*keys, "file_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plus = outside & line.startswith("+++ ")
-    rest = lambda n: F.substring(line, n + 1, 1_000_000)
+    rest = lambda n: after(line, n)
     marks = placed.withColumn("old_name", F.last(F.when(minus, header_path(rest(4))), ignorenulls=True).over(in_file)).where("NOT in_hunk")
     header = F.col("in_header") & ~git & ~minus & ~plus & ~F.col("is_head")
     old_name, new_name = F.coalesce("old_name", F.lit("")), header_path(rest(4))
@@ -170,7 +172,7 @@ def parse(diffs: DataFrame, keys: list[str], text: str = "diff") -> Diff:
     binary = header & (line.startswith("Binary files ") | line.startswith("GIT binary patch"))
     inside = placed.where("in_hunk")
     at = (F.col("new_start") + F.col("new_seen") - F.col("new_base")).cast("int")
-    added = inside.where("mark = '+'").select(*keys, "file_no", (at - 1).alias("line"), F.substring("text", 2, 10_000_000).alias("text"))
+    added = inside.where("mark = '+'").select(*keys, "file_no", (at - 1).alias("line"), after(F.col("text"), 1).alias("text"))
     removed = inside.where("mark = '-'").select(*keys, "file_no", F.greatest(at, F.lit(1)).alias("before"))
     grouped = marks.groupBy(*keys, "file_no").agg(
         F.max_by(path, F.when(path.isNotNull(), F.col("pos"))).alias("path"),

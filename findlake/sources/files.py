@@ -16,7 +16,7 @@ def read_tree(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     directories name the repository. Listing columns are filtered before content is read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root), r"^(?:[a-z0-9]+:/*)?/*|/+$", "")
-    inside = F.substring(F.col("path"), F.instr(F.col("path"), base) + F.length(base) + 1, F.lit(1_000_000))
+    inside = F.substring(F.col("path"), F.instr(F.col("path"), base) + F.length(base) + 1, F.length("path"))
     parts = F.split(inside, "/")
     return raw.select(
         F.array_join(F.slice(parts, 1, repo_depth), "/").alias("repo"),
@@ -34,14 +34,10 @@ def listing(files: DataFrame, extensions: Sequence[str] = SCAN_EXTENSIONS) -> Da
 
 
 def gate(files: DataFrame, limit: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``(text, skipped)`` of binary files: too large, unreadable or not UTF-8 is left out with
-    its reason. The size test comes first, so large content is never decoded."""
-    reason = (
-        F.when(F.col("size") > limit, "too-large")
-        .when(F.col("content").isNull(), "unreadable")
-        .when(~F.is_valid_utf8(F.col("content").cast("string")), "not-utf8")
-    )
-    marked = files.withColumn("reason", reason)
+    """``(text, skipped)`` of binary files: unreadable or not UTF-8 is left out with its reason.
+    Every other file is read, whatever its size; ``large`` says that it is over ``limit``."""
+    reason = F.when(F.col("content").isNull(), "unreadable").when(~F.is_valid_utf8(F.col("content").cast("string")), "not-utf8")
+    marked = files.withColumn("reason", reason).withColumn("large", F.col("size") > limit)
     text = marked.where("reason IS NULL").withColumn("content", F.col("content").cast("string")).drop("reason")
     return text, marked.where("reason IS NOT NULL").drop("content")
 

@@ -163,8 +163,8 @@ def test_packs_manifest_and_tree(spark, rows, tmp_path):
     listed = source_files.listing(source_files.read_tree(spark, str(tree)))
     assert rows(listed, "repo", "path", "size") == [("one", "src/a.ts", 1), ("two", "big.py", 50), ("two", "c.go", 2)]
     good, skipped = source_files.gate(listed, limit=40)
-    assert rows(good, "path", "content") == [("src/a.ts", "x")]
-    assert rows(skipped, "path", "reason") == [("big.py", "too-large"), ("c.go", "not-utf8")]
+    assert rows(good, "path", "content", "large") == [("big.py", "x" * 50, True), ("src/a.ts", "x", False)]
+    assert rows(skipped, "path", "reason") == [("c.go", "not-utf8")]
 
 
 def test_report_documents_are_valid(spark, tmp_path):
@@ -177,7 +177,8 @@ def test_report_documents_are_valid(spark, tmp_path):
         document = json.loads("".join(p.read_text() for p in parts))
         results = document["runs"][0]["results"] if name == "sarif" else document
         assert len(results) == 48
-    page = reports.markdown_report(df).orderBy("section", "ord").collect()
+    assert reports.markdown_report(df).count() == 7 + 48
+    page = reports.markdown_report(df, rows=40).orderBy("section", "ord").collect()
     assert page[3]["text"] == "**48 findings**: 12 critical, 12 high, 24 low" and page[-1]["text"] == "…and 8 more."
     assert page[7]["text"] == "| critical | `a\\|b.ts:1` | t1 | x |"
     assert reports.text_report(df).count() == 49

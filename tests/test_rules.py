@@ -170,7 +170,7 @@ def test_windows_prompts_and_provider(spark):
     prompts = table(spark, "repo string, prompt_id string, system string, user string", [("r", "1", "s", "good"), ("r", "2", "s", "bad")])
     assert {r["prompt_id"]: (r["reply"], r["fault"]) for r in semantic.ask(prompts, provider).collect()} == {"1": ("s:good", None), "2": (None, "down")}
     tries = table(spark, "repo string, ord long, failed boolean", [("r", i, f) for i, f in enumerate([True, True, False, True, True, True, False])] + [("s", 0, True)])
-    assert sorted((r["repo"], r["ord"]) for r in semantic.before_failures(tries).collect()) == [("r", i) for i in range(6)] + [("s", 0)]
+    assert sorted((r["repo"], r["ord"]) for r in semantic.before_failures(tries, 3).collect()) == [("r", i) for i in range(6)] + [("s", 0)]
 
 
 def test_candidates(spark):
@@ -193,7 +193,7 @@ def test_quality_counters(spark):
 
 def test_coverage(spark):
     skipped = table(spark, "reason string, ord int, path string", [("big", i, f"p{i}") for i in range(7)] + [("odd", 0, "q")])
-    got = {r["reason"]: (r["files"], r["examples"]) for r in coverage.skips_by_reason(skipped).collect()}
+    got = {r["reason"]: (r["files"], r["examples"]) for r in coverage.skips_by_reason(skipped, 5).collect()}
     assert got == {"big": (7, [f"p{i}" for i in range(5)]), "odd": (1, ["q"])}
     policy = table(spark, "repo string, rule_id string, pack string, version string", [("r", "a", "p", "1"), ("r", "b", "p", "1"), ("r", "c", "p", "1")])
     known = table(spark, "rule_id string", [("a",), ("c",)])
