@@ -12,7 +12,7 @@ from findlake.plans.registry import query
 from findlake.plans.tables import FINDINGS_SQL, SESSIONS_SQL, SPLIT, findings, table
 from findlake.schemas import LEDGER
 from findlake.session import checkpoint_root
-from findlake.streaming.jobs import ledger_stream, lifecycle_stream, weekly_changes
+from findlake.streaming.jobs import LEDGER_KEYS, ledger_stream, lifecycle_stream, weekly_changes
 from findlake.streaming.state import StateTable
 
 
@@ -39,12 +39,17 @@ SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.file, b.file) AS file, coale
 FROM a FULL OUTER JOIN b ON a.repo = b.repo AND a.file = b.file AND a.identity = b.identity""",
 )
 def stream_ledger_sync(spark, sf_dir):
-    events = _events_stream(spark, sf_dir)
-    rows = findings(spark, sf_dir, events).withColumn("session", F.when(F.col("ts") < F.lit(SPLIT).cast("timestamp"), "s1").otherwise("s2"))
+    """Four files with parts of every session of every repository, then one that closes them."""
     place = _workspace(spark, "ledger")
-    running = ledger_stream(rows, f"{place}/state", f"{place}/checkpoint").trigger(availableNow=True).start()
+    rows = findings(spark, sf_dir).withColumn("session", F.when(F.col("ts") < F.lit(SPLIT).cast("timestamp"), "s1").otherwise("s2")).withColumn("session_end", F.lit(False))
+    rows.repartitionByRange(4, F.xxhash64("ord")).write.parquet(f"{place}/in")
+    ends = rows.groupBy("repo", "session").agg(F.max("ts").alias("ts")).withColumn("session_end", F.lit(True))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ends.columns]
+    ends.select("*", *blank).select(*rows.columns).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/in")
+    running = ledger_stream(stream, f"{place}/state", f"{place}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    state = StateTable(f"{place}/state", ["repo"], LEDGER).before(spark, _batches(spark, running))
+    state = StateTable(f"{place}/state", LEDGER_KEYS, LEDGER).before(spark, _batches(spark, running))
     return state.select("repo", "file", "entry_ord", "status", "anchor", F.size("history").alias("events"))
 
 

@@ -3,7 +3,7 @@
 Every batch writes the keys it changed under ``batch=<id>``; every ``SNAPSHOT_EVERY``-th batch
 writes all keys. The state before a batch is the newest version of each key from the last
 snapshot on, so running a batch again reads the same state and replaces the same folder: a
-retried batch changes nothing.
+retried batch changes nothing. Versions older than the snapshot before the newest are deleted.
 """
 
 from __future__ import annotations
@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 SNAPSHOT_EVERY = 20
 
 
+def prune(spark: SparkSession, path: str, below: int) -> None:
+    """Delete the folders of batches before ``below``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for found in files.listStatus(root):
+        name = found.getPath().getName()
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < below:
+            files.delete(found.getPath(), True)
+
+
 @dataclass(frozen=True)
 class StateTable:
     path: str
@@ -38,3 +48,5 @@ class StateTable:
         rows = full if batch_id % SNAPSHOT_EVERY == 0 else changed
         names = [f.name for f in spark.createDataFrame([], self.schema).schema]
         rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        if batch_id % SNAPSHOT_EVERY == 0:
+            prune(spark, self.path, batch_id - SNAPSHOT_EVERY)

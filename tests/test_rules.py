@@ -10,7 +10,7 @@ from findlake.functions import directives, secrets, text
 from findlake.operators import accept, context, coverage, envdocs, lifecycle, quality, rules, semantic, trends
 from findlake.schemas import FLAT_FINDING, LEDGER
 from findlake.session import checkpoint_root
-from findlake.streaming.jobs import ledger_batch, lifecycle_batch
+from findlake.streaming.jobs import LEDGER_KEYS, ledger_batch, lifecycle_batch
 from findlake.streaming.state import StateTable
 
 
@@ -239,13 +239,13 @@ def test_trend_windows():
 
 
 def test_ledger_stream_batches_are_idempotent(spark, tmp_path):
-    schema = FLAT_FINDING + ", session string, ts timestamp"
+    schema = FLAT_FINDING + ", session string, ts timestamp, session_end boolean"
     import datetime as dt
 
     at = lambda d: dt.datetime(2024, 1, d)
-    first = table(spark, schema, [("p", "a", "x", "c", "low", 1, "1", 1, "t", "s1", at(1)), ("p", "b", "x", "c", "low", 1, "1", 2, "t", "s2", at(2)), ("q", "a", "x", "c", "low", 1, "1", 3, "t", "s1", at(1))])
-    second = table(spark, schema, [("p", "a", "x", "c", "low", 1, "2", 4, "t", "s3", at(3))])
-    state = StateTable(str(tmp_path / "ledger"), ["repo"], LEDGER)
+    first = table(spark, schema, [("p", "a", "x", "c", "low", 1, "1", 1, "t", "s1", at(1), True), ("p", "b", "x", "c", "low", 1, "1", 2, "t", "s2", at(2), True), ("q", "a", "x", "c", "low", 1, "1", 3, "t", "s1", at(1), True)])
+    second = table(spark, schema, [("p", "a", "x", "c", "low", 1, "2", 4, "t", "s3", at(3), True)])
+    state = StateTable(str(tmp_path / "ledger"), LEDGER_KEYS, LEDGER)
     handle = ledger_batch(state, str(tmp_path / "report"))
     for _ in range(2):
         handle(first, 0)
@@ -255,6 +255,25 @@ def test_ledger_stream_batches_are_idempotent(spark, tmp_path):
     assert got == [("p", "a", "reopened", 3), ("p", "b", "resolved", 2), ("q", "a", "open", 1)]
 
 
+def test_ledger_stream_waits_for_the_end_of_a_session(spark, tmp_path):
+    import datetime as dt
+
+    schema = FLAT_FINDING + ", session string, ts timestamp, session_end boolean"
+    at = lambda d: dt.datetime(2024, 1, d)
+    row = lambda file, n, session, day, end=False: ("p", file, "x", "c", "low", 1, "1", n, "t", session, at(day), end)
+    state = StateTable(str(tmp_path / "ledger"), LEDGER_KEYS, LEDGER)
+    handle = ledger_batch(state)
+    close = lambda session, day: ("p", None, None, None, None, None, None, None, None, session, at(day), True)
+    batches = [[row("a", 1, "s2", 2)], [row("b", 2, "s2", 2), row("c", 3, "s3", 3, True)], [close("s2", 2)], [row("z", 4, "s1", 1, True)]]
+    seen = []
+    for k, rows in enumerate(batches):
+        for _ in range(2):
+            handle(table(spark, schema, rows), k)
+        seen.append(sorted((r["file"], r["status"]) for r in state.before(spark, k + 1).collect()))
+    # nothing before s2 closes; s3 waits for it; s1 comes too late
+    assert seen == [[], [], [("a", "resolved"), ("b", "resolved"), ("c", "open")], [("a", "resolved"), ("b", "resolved"), ("c", "open")]]
+
+
 def test_lifecycle_stream_continues(spark, tmp_path):
     state = StateTable(str(tmp_path / "memory"), ["item"], "item string, status string, accepted long, rejected long")
     handle = lifecycle_batch(state, lifecycle.MEMORY, "ord", "state", str(tmp_path / "rejected"))
@@ -289,3 +308,19 @@ def test_checkpoint_folder_comes_from_the_session():
     assert checkpoint_root(_Cluster("s3://shared/x/")) == "s3://shared/x"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_root(_Cluster(None))
+
+
+def test_brace_groups_and_long_names(spark):
+    table_ = table(spark, "concept string, language string, ord long, entry string", [("k", "go", 1, "{a,b}{c,d}{e,f}{g,h}{i,j}{k,l}"), ("m", "go", 2, "Class." + "x" * 1500), ("o", "go", 3, "open{")])
+    compiled = rules.compile_concepts(table_)
+    names = {r["name"] for r in compiled.collect()}
+    assert {"acegik", "bdfhjl"} <= names and sum(len(n) == 6 for n in names) == 64 and "open{" in names
+    assert compiled.where(f"regex LIKE '%{'x' * 1500}$'").count() == 1
+
+
+def test_export_targets_to_any_depth(spark):
+    from findlake.operators import surface
+
+    deep = '{"exports":{".":' + '{"node":' * 6 + '["./a.js",{"import":"./b.js"}]' + "}" * 6 + "}}"
+    got = surface.manifest_targets(table(spark, "repo string, module string, content string", [("r", "m", deep)])).orderBy("rank").collect()
+    assert [r["target"] for r in got] == ["./a.js", "./b.js"]
