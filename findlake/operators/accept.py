@@ -122,14 +122,15 @@ def apply_directives(findings: DataFrame, directives: DataFrame) -> DataFrame:
 
 
 def merge_analyzer_findings(
-    own: DataFrame, analyzer: DataFrame, supersedes: DataFrame, equivalents: DataFrame
+    own: DataFrame, analyzer: DataFrame, supersedes: DataFrame, equivalents: DataFrame, runs: DataFrame | None = None
 ) -> DataFrame:
     """Own findings a tool answers for are dropped, then both sides are united.
 
     ``supersedes``: tool, rule_id (ours). ``equivalents``: tool, tool_rule, rule_id (ours).
-    ``analyzer`` carries tool, tool_rule and the finding columns of ``own``.
+    ``analyzer`` carries tool, tool_rule and the finding columns of ``own``. ``runs`` (repo, tool)
+    lists the tools that returned a result: one that found nothing supersedes as well.
     """
-    tools = analyzer.select("repo", "tool").distinct()
+    tools = (analyzer if runs is None else runs).select("repo", "tool").distinct()
     gone = tools.join(supersedes, "tool").select("repo", "rule_id").distinct()
     covered = (
         analyzer.where("line IS NOT NULL")
@@ -177,11 +178,16 @@ def bar_of(path: Column, default: str, overrides: Sequence[tuple[Sequence[str],
     return chain
 
 
-def fail_gate(findings: DataFrame, default: str, overrides: Sequence[tuple[Sequence[str], str]] = ()) -> DataFrame:
-    """Per repository: does a counted finding reach its bar? ``counted`` marks the rows that count."""
+def fail_gate(findings: DataFrame, default: str, overrides: Sequence[tuple[Sequence[str], str]] = (), repos: DataFrame | None = None) -> DataFrame:
+    """Per repository: does a counted finding reach its bar? ``counted`` marks the rows that count.
+    ``repos`` (repo) lists the repositories reviewed; those without a finding pass."""
     limit = threshold_rank(bar_of(F.col("file"), default, overrides))
     over = F.col("counted") & F.coalesce(severity_rank(F.col("severity")) <= limit, F.lit(False))
-    return findings.groupBy("repo").agg(F.bool_or(over).alias("failed"), F.count_if(over).alias("over_bar"))
+    gate = findings.groupBy("repo").agg(F.bool_or(over).alias("failed"), F.count_if(over).alias("over_bar"))
+    if repos is None:
+        return gate
+    every = repos.select("repo").distinct().join(gate, "repo", "full_outer")
+    return every.select("repo", F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("over_bar", F.lit(0)).alias("over_bar"))
 
 
 def accept_into_memory(requests: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

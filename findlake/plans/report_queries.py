@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions.paths import is_ignored_path, is_test_path
 from findlake.plans.registry import query
-from findlake.plans.tables import FINDINGS_SQL, LINES_SQL, files, findings, table, texts
+from findlake.plans.tables import FINDINGS_SQL, LINES_SQL, files, findings, reviewed, table, texts
 from findlake.sinks import reports
 from findlake.sources import analyzers, diff
 
@@ -153,18 +153,21 @@ def sarif_rules(spark, sf_dir):
 @query(
     "sarif_report_lines",
     f"""WITH {FINDINGS_SQL},
-rules AS (SELECT repo, coalesce(rule_id, category) AS rule, min(ord) AS ord, arg_min(title, ord) AS title FROM findings GROUP BY 1, 2),
-a AS (SELECT repo, ord, min(ord) OVER (PARTITION BY repo) AS f, '{{"id":"' || rule || '","name":"' || rule || '","shortDescription":{{"text":"' || title || '"}}}}' AS t FROM rules),
+named AS (SELECT DISTINCT repo FROM findings UNION ALL SELECT 'clean-' || n_nationkey FROM nation),
+rules AS (SELECT repo, coalesce(rule_id, category) AS rule, min(ord) AS ord, arg_min(title, ord) AS title, arg_min(CASE WHEN ord % 3 = 0 THEN 'fix ' || ord END, ord) FILTER (ord % 3 = 0) AS help FROM findings GROUP BY 1, 2),
+a AS (SELECT repo, ord, min(ord) OVER (PARTITION BY repo) AS f, '{{"id":"' || rule || '","name":"' || rule || '","shortDescription":{{"text":"' || title || '"}}' || coalesce(',"help":{{"text":"' || help || '"}}', '') || ',"properties":{{"precision":"' || CASE WHEN rule = 'view' THEN 'low' ELSE 'high' END || '"}}}}' AS t FROM rules),
 b AS (SELECT repo, ord, min(ord) OVER (PARTITION BY repo) AS f, '{{"ruleId":"' || coalesce(rule_id, category) || '","level":"' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END
   || '","message":{{"text":"' || title || '."}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '","uriBaseId":"%SRCROOT%"}},"region":{{"startLine":' || line || ',"endLine":' || line || '}}}}}}],"properties":{{"severity":"' || severity || '","category":"' || category || '"}}}}' AS t FROM findings)
 SELECT repo, 1 AS section, ord, CASE WHEN ord = f THEN t ELSE ',' || t END AS text FROM a
 UNION ALL SELECT repo, 4, ord, CASE WHEN ord = f THEN t ELSE ',' || t END FROM b
-UNION ALL SELECT DISTINCT repo, 0, 0, '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"findlake","version":"1.0.0","rules":[' FROM findings
-UNION ALL SELECT DISTINCT repo, 2, 0, ']}}}},"results":[' FROM findings
-UNION ALL SELECT DISTINCT repo, 3, 0, '' FROM findings UNION ALL SELECT DISTINCT repo, 5, 0, ']}}]}}' FROM findings""",
+UNION ALL SELECT repo, 0, 0, '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"findlake","version":"1.0.0","rules":[' FROM named
+UNION ALL SELECT repo, 2, 0, ']}}}},"results":[' FROM named
+UNION ALL SELECT repo, 3, 0, '' FROM named UNION ALL SELECT repo, 5, 0, ']}}]}}' FROM named""",
 )
 def sarif_report_lines(spark, sf_dir):
-    return reports.sarif_report(findings(spark, sf_dir))
+    rows = findings(spark, sf_dir).withColumn("recommendation", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("fix "), "ord")))
+    rows = rows.withColumn("confidence", F.when(F.col("rule_id").isNull(), "low").otherwise("high"))
+    return reports.sarif_report(rows, repos=reviewed(spark, sf_dir, rows))
 
 
 @query(
@@ -220,3 +223,27 @@ def merge_supersede(spark, sf_dir):
     equivalents = spark.createDataFrame([("biome", "click", "click")], "tool string, tool_rule string, rule_id string")
     merged = merge_analyzer_findings(own, tool, supersedes, equivalents)
     return merged.select("repo", "file", "rule_id", "line", "ord")
+
+
+@query(
+    "merged_findings",
+    f"""WITH {FINDINGS_SQL},
+own AS (SELECT repo, file, CASE category WHEN 'click' THEN 'no-hardcoded-secrets' ELSE rule_id END AS rule_id, line, ord FROM findings WHERE ord % 2 = 0),
+tool AS (SELECT repo, file, category, CASE WHEN ord % 5 <> 0 THEN line END AS line, ord FROM findings WHERE ord % 2 = 1)
+SELECT repo, file, rule_id, line, ord FROM own WHERE NOT (coalesce(rule_id, '') = 'no-hardcoded-secrets' AND CAST(repo AS INTEGER) % 2 = 0)
+UNION ALL SELECT repo, file, 'ruff:' || category, line, ord FROM tool UNION ALL SELECT repo, file, 'ruff:' || category, line, -ord FROM tool""",
+)
+def merged_findings(spark, sf_dir):
+    """Each analyzer finding comes twice and a fifth have no line; the secret scanner ran clean in every other repository."""
+    from findlake.plans.review import merged
+
+    rows = findings(spark, sf_dir)
+    own = rows.where("ord % 2 = 0").withColumn("rule_id", F.when(F.col("category") == "click", "no-hardcoded-secrets").otherwise(F.col("rule_id")))
+    tool = rows.where("ord % 2 = 1").select(
+        "repo", F.lit("ruff").alias("tool"), F.col("category").alias("rule_id"), F.col("title").alias("message"), "severity", "category", "file",
+        F.when(F.col("ord") % 5 != 0, F.col("line")).alias("line"), F.lit(False).alias("sensitive"), F.explode(F.array("ord", -F.col("ord"))).alias("ord"),
+    )
+    text = rows.select("repo", "file", "line", F.lit("x").alias("text")).distinct()
+    runs = rows.select("repo").distinct().select("repo", F.explode(F.when(F.col("repo").cast("int") % 2 == 0, F.array(F.lit("ruff"), F.lit("gitleaks"))).otherwise(F.array(F.lit("ruff")))).alias("tool"))
+    names = ("repo", "file", "rule_id", "category", "severity", "line", "anchor", "ord", "title")
+    return merged(spark, own.select(*names), tool, text, runs).select("repo", "file", "rule_id", "line", "ord")

@@ -45,12 +45,12 @@ def detected(lines: DataFrame, line_rules: Sequence[LineRule], policy_rules: Dat
     )
 
 
-def merged(spark: SparkSession, own: DataFrame, analyzer: DataFrame, lines: DataFrame) -> DataFrame:
-    """Own findings and the analyzers' (``analyzer`` adds ord), duplicates resolved for the tool."""
+def merged(spark: SparkSession, own: DataFrame, analyzer: DataFrame, lines: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Own findings and the analyzers' (``analyzer`` adds ord), duplicates resolved for the tool.
+    ``runs``: repo, tool of every analyzer that returned a result, findings or none."""
     supersedes = spark.createDataFrame(list(SUPERSEDES), "tool string, rule_id string")
     equivalents = spark.createDataFrame(list(EQUIVALENTS), "tool string, tool_rule string, rule_id string")
-    placed = to_findings(analyzer, lines).join(analyzer.select("repo", "tool", "file", "line", F.col("rule_id").alias("tool_rule"), "ord"), ["repo", "tool", "file", "line", "tool_rule"])
-    return accept.merge_analyzer_findings(own, placed, supersedes, equivalents)
+    return accept.merge_analyzer_findings(own, to_findings(analyzer, lines), supersedes, equivalents, runs)
 
 
 def review(
@@ -66,11 +66,13 @@ def review(
     known_tools: Sequence[str] = (),
     fail_on: str = "high",
     overrides: Sequence[tuple[Sequence[str], str]] = (),
+    repos: DataFrame | None = None,
 ) -> Review:
     """Take flat findings through acceptance, the ledger and the gate.
 
     Inline directives hide first, then repository memory; the ledger sees all that is left, and
-    the baseline only decides what is reported.
+    the baseline only decides what is reported. ``repos`` (repo) lists the repositories reviewed, so
+    that one without a finding passes the gate.
     """
     names = [f.name for f in found.sparkSession.createDataFrame([], FLAT_FINDING).schema]
     rows = found.select(*names)
@@ -93,5 +95,5 @@ def review(
         reported, accepted = split.where("NOT baselined").select(*names), split.where("baselined")
     shown = reported.select("repo", "ord").join(synced.outcomes.select("repo", "ord", "entry_id"), ["repo", "ord"])
     changes = L.change_references(synced.report, synced.ledger, shown)
-    gate = accept.fail_gate(reported.withColumn("counted", F.lit(True)), fail_on, overrides)
+    gate = accept.fail_gate(reported.withColumn("counted", F.lit(True)), fail_on, overrides, repos)
     return Review(reported, accepted, suppressed, inline, synced, changes, gate)

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reviewed(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Repositories of a review: those with findings, and clean ones."""
+    clean = table(spark, sf_dir, "nation").select(F.concat(F.lit("clean-"), "n_nationkey").alias("repo"))
+    return found.select("repo").distinct().unionByName(clean)
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     """A text table; ``keys`` name its rows."""
     return table(spark, sf_dir, name)

@@ -56,20 +56,22 @@ def gitlab_rows(findings: DataFrame) -> DataFrame:
     )
 
 
-def _array_document(rows: DataFrame, opening: str, closing: str) -> DataFrame:
-    """JSON array elements as lines: every element but the first is led by a comma."""
+def _array_document(rows: DataFrame, opening: str, closing: str, repos: DataFrame | None = None) -> DataFrame:
+    """JSON array elements as lines: every element but the first is led by a comma. Each repository
+    of ``repos`` has a document, also without a row."""
     first = rows.groupBy("repo").agg(F.min("ord").alias("first"))
     led = rows.join(first, "repo").select(
         "repo", F.lit(1).alias("section"), "ord", F.when(F.col("ord") == F.col("first"), F.col("text")).otherwise(F.concat(F.lit(","), "text")).alias("text")
     )
-    edge = first.select("repo", F.explode(F.array(F.struct(F.lit(0).alias("section"), F.lit(opening).alias("text")), F.struct(F.lit(2).alias("section"), F.lit(closing).alias("text")))).alias("e"))
+    named = first.select("repo") if repos is None else first.select("repo").unionByName(repos.select("repo")).distinct()
+    edge = named.select("repo", F.explode(F.array(F.struct(F.lit(0).alias("section"), F.lit(opening).alias("text")), F.struct(F.lit(2).alias("section"), F.lit(closing).alias("text")))).alias("e"))
     return led.unionByName(edge.select("repo", "e.section", F.lit(0).cast("long").alias("ord"), "e.text"))
 
 
-def gitlab_report(findings: DataFrame) -> DataFrame:
+def gitlab_report(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     rows = gitlab_rows(findings)
     body = F.to_json(F.struct("description", "check_name", "fingerprint", "severity", "location"))
-    return _array_document(rows.select("repo", "ord", body.alias("text")), "[", "]")
+    return _array_document(rows.select("repo", "ord", body.alias("text")), "[", "]", repos)
 
 
 def _data(value: Column) -> Column:
@@ -100,10 +102,21 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.groupBy("repo", rule_name().alias("rule")).agg(F.min("ord").alias("ord"), F.min_by("title", "ord").alias("title"))
 
 
-def sarif_report(findings: DataFrame, tool: str = "findlake", version: str = "1.0.0") -> DataFrame:
-    """SARIF 2.1.0 as lines: rules and results stream in order between fixed opening lines."""
+def sarif_report(findings: DataFrame, tool: str = "findlake", version: str = "1.0.0", repos: DataFrame | None = None) -> DataFrame:
+    """SARIF 2.1.0 as lines: rules and results stream in order between fixed opening lines. Columns
+    ``recommendation`` and ``confidence`` of the findings, where there are, become a rule's help and
+    precision. ``repos`` (repo) lists the repositories reviewed: each has a document."""
+    extra = [c for c in ("recommendation", "confidence") if c in findings.columns]
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in extra]
     rules = sarif_rules(findings)
-    rule_text = F.to_json(F.struct(F.col("rule").alias("id"), F.col("rule").alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription")))
+    if extra:
+        rules = rules.join(findings.groupBy("repo", rule_name().alias("rule")).agg(*firsts), ["repo", "rule"])
+    parts = [F.col("rule").alias("id"), F.col("rule").alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription")]
+    if "recommendation" in extra:
+        parts.append(F.when(F.col("recommendation").isNotNull(), F.struct(F.col("recommendation").alias("text"))).alias("help"))
+    if "confidence" in extra:
+        parts.append(F.when(F.col("confidence").isNotNull(), F.struct(F.col("confidence").alias("precision"))).alias("properties"))
+    rule_text = F.to_json(F.struct(*parts))
     line = F.col("line")
     region = F.when(line.isNotNull(), F.struct(line.alias("startLine"), line.alias("endLine")))
     artifact = F.struct(F.replace(F.col("file"), F.lit("\\"), F.lit("/")).alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId"))
@@ -118,8 +131,8 @@ def sarif_report(findings: DataFrame, tool: str = "findlake", version: str = "1.
         )
     )
     opening = f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}","version":"{version}","rules":['
-    first = _array_document(rules.select("repo", "ord", rule_text.alias("text")), opening, ']}},"results":[')
-    second = _array_document(findings.select("repo", "ord", result.alias("text")), "", "]}]}")
+    first = _array_document(rules.select("repo", "ord", rule_text.alias("text")), opening, ']}},"results":[', repos)
+    second = _array_document(findings.select("repo", "ord", result.alias("text")), "", "]}]}", repos)
     return first.unionByName(second.withColumn("section", F.col("section") + 3))
 
 

@@ -410,7 +410,8 @@ def inventory(files: DataFrame, installed: DataFrame, options: DataFrame) -> Dat
 
 def to_findings(found: DataFrame, lines: DataFrame) -> DataFrame:
     """Analyzer findings with an excerpt and anchor: the flagged line, the message of a finding
-    without a line, nothing when it is sensitive. ``lines``: repo, file, line, text."""
+    without a line, nothing when it is sensitive. ``lines``: repo, file, line, text. A column
+    ``ord`` stays with its finding."""
     from findlake.functions.identity import content_anchor
     from findlake.functions.text import excerpt
 
@@ -419,5 +420,5 @@ def to_findings(found: DataFrame, lines: DataFrame) -> DataFrame:
     cited = excerpt(text)
     return joined.select(
         "repo", "file", F.concat_ws(":", "tool", "rule_id").alias("rule_id"), "category", "severity", "line", content_anchor(cited).alias("anchor"),
-        F.col("message").alias("title"), "tool", F.col("rule_id").alias("tool_rule"), cited.alias("excerpt"),
+        F.col("message").alias("title"), "tool", F.col("rule_id").alias("tool_rule"), cited.alias("excerpt"), *[c for c in found.columns if c == "ord"],
     )
