@@ -86,7 +86,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = materialize(edges.select("repo", "src", "dst").where("src <> dst").distinct(), "edges")
     done: list[DataFrame] = []
-    while not left.isEmpty():
+    held = left.count()
+    while held:
         while True:
             sources = left.select("repo", F.col("src").alias("node")).distinct()
             targets = left.select("repo", F.col("dst").alias("node")).distinct()
@@ -95,11 +96,10 @@ def components(edges: DataFrame) -> DataFrame:
                 inner.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"
             )
             trimmed = materialize(kept.select("repo", "src", "dst"), "trimmed")
-            before, after = left.count(), trimmed.count()
-            left = trimmed
-            if before == after:
+            left, before, held = trimmed, held, trimmed.count()
+            if before == held:
                 break
-        if left.isEmpty():
+        if not held:
             break
         nodes = left.select("repo", F.col("src").alias("node")).distinct().withColumn("color", F.col("node"))
         colored = _spread_max(nodes, left)
@@ -125,6 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select("repo", "src", "dst"),
             "edges",
         )
+        held = left.count()
     if not done:
         return edges.select("repo", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     return _union(done)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from findlake.operators import graph, layers
 from findlake.plans.registry import query
 from findlake.plans.tables import table, trade_edges, trade_edges_sql
+from findlake.session import materialize
 
 CLOSURE_SQL = """
 closure AS (
@@ -16,42 +17,43 @@ closure AS (
 
 @query(
     "dependents",
-    f"""WITH RECURSIVE {trade_edges_sql(2)}, {CLOSURE_SQL}
-SELECT DISTINCT dst AS start, src AS node FROM closure WHERE src <> dst""",
+    f"""WITH RECURSIVE {trade_edges_sql()}, {CLOSURE_SQL}
+SELECT DISTINCT dst AS start, src AS node FROM closure JOIN nation ON n_name = dst WHERE src <> dst AND n_nationkey % 7 = 1""",
 )
 def dependents(spark, sf_dir):
-    edges = trade_edges(spark, sf_dir, 2)
-    starts = edges.select("repo", F.col("dst").alias("start")).distinct().withColumn("node", F.col("start"))
+    edges = materialize(trade_edges(spark, sf_dir), "trade")
+    changed = table(spark, sf_dir, "nation").where("n_nationkey % 7 = 1")
+    starts = changed.select(F.lit("trade").alias("repo"), F.col("n_name").alias("start"), F.col("n_name").alias("node"))
     return graph.dependents(edges, starts, ["repo", "start"]).select("start", "node")
 
 
-def _component_sql(fanout: int) -> str:
-    return f"""{trade_edges_sql(fanout)}, {CLOSURE_SQL},
+def _component_sql(across: bool = False) -> str:
+    return f"""{trade_edges_sql(across)}, {CLOSURE_SQL},
 mutual AS (SELECT a.src AS node, a.dst AS other FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src),
 named AS (SELECT node, min(other) AS component, count(DISTINCT other) AS size FROM mutual GROUP BY node)"""
 
 
 @query(
     "cycles",
-    f"""WITH RECURSIVE {_component_sql(1)}
+    f"""WITH RECURSIVE {_component_sql()}
 SELECT component, node, size, CASE WHEN size <= 2 THEN 'low' WHEN size = 3 THEN 'medium' ELSE 'high' END AS impact FROM named WHERE size >= 2""",
 )
 def cycles(spark, sf_dir):
-    return graph.cycles(trade_edges(spark, sf_dir, 1)).select("component", "node", "size", graph.cycle_impact(F.col("size")).alias("impact"))
+    return graph.cycles(trade_edges(spark, sf_dir)).select("component", "node", "size", graph.cycle_impact(F.col("size")).alias("impact"))
 
 
 @query(
     "cycles_dense",
-    f"""WITH RECURSIVE {_component_sql(2)}
+    f"""WITH RECURSIVE {_component_sql(True)}
 SELECT component, node, size FROM named WHERE size >= 2""",
 )
 def cycles_dense(spark, sf_dir):
-    return graph.cycles(trade_edges(spark, sf_dir, 2)).select("component", "node", "size")
+    return graph.cycles(trade_edges(spark, sf_dir, across=True)).select("component", "node", "size")
 
 
 @query(
     "shortest_cycle",
-    f"""WITH RECURSIVE {_component_sql(2)},
+    f"""WITH RECURSIVE {_component_sql()},
 walk AS (
   SELECT component, component AS here, [component] AS path, 0 AS steps FROM (SELECT DISTINCT component FROM named WHERE size >= 2)
   UNION ALL
@@ -64,16 +66,14 @@ SELECT component, array_to_string(min(path), '>') AS path FROM (
 ) WHERE r = 1 GROUP BY component""",
 )
 def shortest_cycle(spark, sf_dir):
-    from findlake.session import materialize
-
-    edges = materialize(trade_edges(spark, sf_dir, 2), "trade")
+    edges = materialize(trade_edges(spark, sf_dir), "trade")
     found = graph.shortest_cycles(edges, graph.cycles(edges).select("repo", "component", "node"))
     return found.select("component", F.array_join("path", ">").alias("path"))
 
 
 @query(
     "value_flow",
-    f"""WITH RECURSIVE {trade_edges_sql(2)},
+    f"""WITH RECURSIVE {trade_edges_sql()},
 links AS (SELECT src, dst, CASE WHEN lines % 3 = 0 THEN 1 WHEN lines % 3 = 1 THEN 2 ELSE 3 END AS link FROM edges),
 flow AS (
   SELECT DISTINCT src AS name, 3 AS certainty FROM edges WHERE src LIKE 'NATION_%5' OR src = 'NATION_0'
@@ -83,7 +83,7 @@ flow AS (
 SELECT name, CAST(max(certainty) AS INTEGER) AS certainty FROM flow GROUP BY name""",
 )
 def value_flow(spark, sf_dir):
-    edges = trade_edges(spark, sf_dir, 2).withColumn("file", F.lit("trade"))
+    edges = materialize(trade_edges(spark, sf_dir).withColumn("file", F.lit("trade")), "trade")
     left = F.col("lines") % 3
     links = edges.select("repo", "file", F.col("src").alias("source"), F.col("dst").alias("name"), F.when(left == 0, 1).when(left == 1, 2).otherwise(3).alias("certainty"))
     seeds = edges.where("src LIKE 'NATION_%5' OR src = 'NATION_0'").select("repo", "file", F.col("src").alias("name"), F.lit(3).alias("certainty"))
@@ -95,14 +95,14 @@ LAYER_NAMES = ["core-model", "use-cases", "api gateways", "infra", "web-views",
 
 @query(
     "layer_violations",
-    f"""WITH {trade_edges_sql(3)},
+    f"""WITH {trade_edges_sql()},
 layer_of(k, layer, pos) AS (VALUES (0, 'domain', 0), (1, 'application', 1), (2, 'adapter', 2), (3, 'infrastructure', 3), (4, 'presentation', 4)),
 assigned AS (SELECT n_name AS name, layer, pos FROM nation JOIN layer_of ON k = n_nationkey % 7)
 SELECT e.src, e.dst, a.layer AS src_layer, b.layer AS dst_layer, sum(lines)::BIGINT AS evidence
 FROM edges e JOIN assigned a ON a.name = e.src JOIN assigned b ON b.name = e.dst WHERE a.pos < b.pos GROUP BY 1, 2, 3, 4""",
 )
 def layer_violations(spark, sf_dir):
-    edges = trade_edges(spark, sf_dir, 3)
+    edges = trade_edges(spark, sf_dir)
     names = F.array(*[F.lit(n) for n in LAYER_NAMES])
     modules = table(spark, sf_dir, "nation").select(
         F.lit("trade").alias("repo"), F.col("n_name").alias("module"), F.element_at(names, (F.col("n_nationkey") % 7 + 1).cast("int")).alias("name")

@@ -165,11 +165,9 @@ lines AS (
 )"""
 
 
-def trade_edges(spark: SparkSession, sf_dir: str, fanout: int) -> DataFrame:
-    """Module edges from trade: supplier nation to customer nation inside one region, the
-    ``fanout`` busiest targets per source."""
-    from findlake.operators.ordered import top_per_key
-
+def trade_edges(spark: SparkSession, sf_dir: str, across: bool = False) -> DataFrame:
+    """Module edges from trade: supplier nation to customer nation; trade that leaves its region
+    counts as an edge of another kind unless ``across``."""
     nation = table(spark, sf_dir, "nation")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -184,23 +182,20 @@ def trade_edges(spark: SparkSession, sf_dir: str, fanout: int) -> DataFrame:
         .groupBy("s_nationkey", "c_nationkey")
         .agg(F.count(F.lit(1)).alias("lines"))
     )
-    named = trade.join(src, "s_nationkey").join(dst, "c_nationkey").where("src_region = dst_region AND src <> dst")
-    ranked = top_per_key(named, ["src"], [F.desc("lines"), F.col("dst")], fanout)
-    return ranked.select(F.lit("trade").alias("repo"), "src", "dst", "lines")
+    named = trade.join(src, "s_nationkey").join(dst, "c_nationkey").where("src <> dst")
+    inside = named if across else named.where("src_region = dst_region")
+    return inside.select(F.lit("trade").alias("repo"), "src", "dst", "lines")
 
 
-def trade_edges_sql(fanout: int) -> str:
+def trade_edges_sql(across: bool = False) -> str:
     return f"""
 edges AS (
-  SELECT src, dst, lines FROM (
-    SELECT src, dst, lines, row_number() OVER (PARTITION BY src ORDER BY lines DESC, dst) AS rn FROM (
-      SELECT a.n_name AS src, b.n_name AS dst, count(*) AS lines
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-      JOIN supplier ON l_suppkey = s_suppkey
-      JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey
-      WHERE a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name
-      GROUP BY 1, 2)
-  ) WHERE rn <= {fanout}
+  SELECT a.n_name AS src, b.n_name AS dst, count(*) AS lines
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey
+  WHERE {'' if across else 'a.n_regionkey = b.n_regionkey AND '}a.n_name <> b.n_name
+  GROUP BY 1, 2
 )"""
 
 
