@@ -57,6 +57,40 @@ def _is_relative(specifier: Column) -> Column:
     return specifier.rlike(r"^\.\.?(/|\z)")
 
 
+def _lookup_heads(text: Column, mark: str) -> Column:
+    """Every beginning of ``text`` that ends behind ``mark``, and the empty one: the keys under
+    which a pattern with a literal head can be found."""
+    parts = F.split(text, F.lit(f"\\Q{mark}\\E"))
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), mark), F.when(n > 0, F.lit(mark)).otherwise("")))
+
+
+def _lookup_head(head: Column, mark: str) -> Column:
+    return F.regexp_extract(head, f"(?s)^(.*\\Q{mark}\\E)", 1)
+
+
+def _from_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """``repo, root_ord, rel, path``: each path as a name seen from each root that can reach it, also
+    upwards with ``..``. Roots meet paths by their own directories, never by repository alone."""
+    clean = normalize(F.col("root"))
+    parts = F.split(clean, "/")
+    depth = F.when(clean == "", 0).otherwise(F.size(parts))
+    steps = roots.select("repo", "root_ord", parts.alias("parts"), depth.alias("depth"), F.explode(F.sequence(F.lit(0), depth)).alias("up"))
+    steps = steps.select("repo", "root_ord", F.array_join(F.slice("parts", F.lit(1), F.col("depth") - F.col("up")), "/").alias("head"), F.repeat(F.lit("../"), F.col("up")).alias("climb"))
+    placed = paths.select("repo", "path").distinct().select("repo", "path", F.explode(F.concat(F.array(F.lit("")), ancestors(dirname(F.col("path"))))).alias("head")).distinct()
+    below = F.when(F.col("head") == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length("head") + 2, F.length("path")))
+    return placed.join(steps, ["repo", "head"]).select("repo", "root_ord", F.concat("climb", below).alias("rel"), "path")
+
+
+def _longest_under_roots(asked: DataFrame, rooted: DataFrame, extensions: Sequence[str], package_init: bool) -> DataFrame:
+    """Per ``(repo, specifier)`` with ``names``: the file of the longest leading part of the names,
+    then of the first root, then of the first extension."""
+    takes = F.reverse(F.sequence(F.lit(1), F.size("names")))
+    parts = asked.where("size(names) > 0").select("repo", "specifier", F.posexplode(F.transform(takes, lambda n: F.array_join(F.slice("names", F.lit(1), n), "/"))).alias("take", "name"))
+    options = parts.select("repo", "specifier", "take", F.posexplode(_source_candidates(F.col("name"), extensions, package_init)).alias("option", "rel"))
+    hits = options.join(rooted, ["repo", "rel"]).groupBy("repo", "specifier").agg(F.min(F.struct("take", "root_ord", "option", "path")).alias("hit"))
+    return hits.select("repo", "specifier", F.col("hit.path").alias("target"))
+
+
 def through_aliases(imports: DataFrame, aliases: DataFrame, files: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """Alias outcome per distinct ``(repo, scope, specifier)``: ``target`` of the first matching
     pattern's first existing target, or null when the pattern's targets are all missing.
@@ -68,7 +102,10 @@ def through_aliases(imports: DataFrame, aliases: DataFrame, files: DataFrame, en
     head = F.when(star > 0, F.substring(F.col("pattern"), F.lit(1), star - 1)).otherwise(F.col("pattern"))
     tail = F.when(star > 0, F.substring(F.col("pattern"), star + 1, F.length("pattern"))).otherwise("")
     spec = F.col("specifier")
-    joined = asked.join(aliases.withColumn("head", head).withColumn("tail", tail).withColumn("starred", star > 0), ["repo", "scope"])
+    keyed = aliases.withColumn("head", head).withColumn("tail", tail).withColumn("starred", star > 0)
+    keyed = keyed.withColumn("key", F.when(F.col("starred"), _lookup_head(F.col("head"), "/")).otherwise(F.col("pattern")))
+    keys = F.array_distinct(F.concat(_lookup_heads(spec, "/"), F.array(spec)))
+    joined = asked.withColumn("key", F.explode(keys)).join(keyed, ["repo", "scope", "key"]).drop("key").distinct()
     fits = (
         F.when(
             F.col("starred"),
@@ -188,23 +225,11 @@ def dotted_path(
     near_hits = first_existing(near, files, keys)
 
     far = imports.select("repo", "specifier").distinct().withColumn("names", names).where("NOT startswith(specifier, '.') AND size(names) > 0")
-    ordered = roots.groupBy("repo").agg(F.sort_array(F.collect_set(F.struct("root_ord", "root"))).alias("roots"))
-    far = far.join(ordered, "repo")
-    takes = F.reverse(F.sequence(F.lit(1), F.size("names")))
-
-    def at_roots(n: Column) -> Column:
-        return F.flatten(
-            F.transform("roots", lambda r: _source_candidates(join(r["root"], F.array_join(F.slice("names", F.lit(1), n), "/")), extensions, package_init))
-        )
-
-    far = far.withColumn("candidates", F.flatten(F.transform(takes, at_roots)))
-    far_hits = first_existing(far, files, ["repo", "specifier"])
+    far_hits = _longest_under_roots(far, _from_roots(files, roots), extensions, package_init)
     width = F.least(F.greatest(F.size("names") - 1, F.lit(1)), F.lit(3))
-    own = far.where("size(names) > 1").select(
-        "repo", "specifier", F.explode(F.transform("roots", lambda r: join(r["root"], F.array_join(F.slice("names", F.lit(1), width), "/")))).alias("dir")
-    )
-    directories = files.select("repo", F.explode(ancestors(dirname(F.col("path")))).alias("dir")).distinct()
-    owned = own.join(directories, ["repo", "dir"], "left_semi").select("repo", "specifier", F.lit(True).alias("own")).distinct()
+    own = far.where("size(names) > 1").select("repo", "specifier", F.array_join(F.slice("names", F.lit(1), width), "/").alias("rel"))
+    directories = files.select("repo", F.explode(ancestors(dirname(F.col("path")))).alias("path")).distinct()
+    owned = own.join(_from_roots(directories, roots), ["repo", "rel"], "left_semi").select("repo", "specifier", F.lit(True).alias("own")).distinct()
     joined = (
         imports.join(near_hits.withColumnRenamed("target", "near"), keys, "left")
         .join(far_hits.withColumnRenamed("target", "far"), ["repo", "specifier"], "left")
@@ -276,9 +301,9 @@ def psr4(imports: DataFrame, namespaces: DataFrame, files: DataFrame) -> DataFra
     bare = F.regexp_replace(spec, r"^\\+", "")
     prefix = F.regexp_replace("namespace", r"^\\+", "")
     asked = imports.where(~as_path).select(*keys).distinct().withColumn("bare", bare)
-    cut = F.transform(F.sequence(F.lit(1), F.length("bare")), lambda n: F.substring(F.col("bare"), F.lit(1), n))
-    plain = namespaces.select("repo", prefix.alias("prefix"), "dir")
-    both = asked.select(*keys, "bare", F.explode(cut).alias("prefix")).join(plain, ["repo", "prefix"])
+    plain = namespaces.select("repo", prefix.alias("prefix"), "dir").where("prefix <> ''").withColumn("key", _lookup_head(F.col("prefix"), "\\"))
+    both = asked.select(*keys, "bare", F.explode(_lookup_heads(F.col("bare"), "\\")).alias("key")).join(plain, ["repo", "key"])
+    both = both.where(F.startswith("bare", F.col("prefix"))).drop("key")
     parts = F.filter(F.split(F.substring(F.col("bare"), F.length("prefix") + 1, F.length("bare")), r"\\"), lambda p: p != "")
     both = both.withColumn("parts", parts).where("size(parts) > 0")
     tries = F.transform(
@@ -305,15 +330,7 @@ def snake(name: Column) -> Column:
 def snake_path(imports: DataFrame, roots: DataFrame, files: DataFrame, extensions: Sequence[str] = ("ex", "exs")) -> DataFrame:
     """Elixir: ``MyApp.Foo`` is ``my_app/foo.ex`` under a root; a miss is external."""
     asked = imports.select("repo", "specifier").distinct().withColumn("names", F.transform(F.split("specifier", r"\."), snake))
-    ordered = roots.groupBy("repo").agg(F.sort_array(F.collect_set(F.struct("root_ord", "root"))).alias("roots"))
-    takes = F.reverse(F.sequence(F.lit(1), F.size("names")))
-    tries = F.flatten(
-        F.transform(
-            takes,
-            lambda n: F.flatten(F.transform("roots", lambda r: _source_candidates(join(r["root"], F.array_join(F.slice("names", F.lit(1), n), "/")), extensions, False))),
-        )
-    )
-    hits = first_existing(asked.join(ordered, "repo").withColumn("candidates", tries), files, ["repo", "specifier"])
+    hits = _longest_under_roots(asked, _from_roots(files, roots), extensions, False)
     return _outcome(imports.join(hits, ["repo", "specifier"], "left"), F.lit("external")).select(*imports.columns, "outcome", "target")
 
 
@@ -336,10 +353,9 @@ def require_path(imports: DataFrame, roots: DataFrame, files: DataFrame) -> Data
     """Ruby: relative to the file, then under each load root."""
     keys = ["repo", "file", "specifier"]
     name = F.regexp_replace("specifier", r"\.rb\z", "")
-    ordered = roots.groupBy("repo").agg(F.sort_array(F.collect_set(F.struct("root_ord", "root"))).alias("roots"))
-    asked = imports.select(*keys).distinct().join(ordered, "repo", "left")
-    under = F.transform(F.coalesce("roots", F.array().cast("array<struct<root_ord:int,root:string>>")), lambda r: F.concat(join(r["root"], name), F.lit(".rb")))
-    asked = asked.withColumn("candidates", F.concat(F.array(F.concat(join(dirname(F.col("file")), name), F.lit(".rb"))), under))
-    hits = first_existing(asked, files, keys)
-    joined = imports.join(hits, keys, "left")
+    asked = imports.select(*keys).distinct().withColumn("candidates", F.array(F.concat(join(dirname(F.col("file")), name), F.lit(".rb"))))
+    near = first_existing(asked, files, keys).withColumnRenamed("target", "near")
+    named = imports.select("repo", "specifier").distinct().withColumn("rel", F.concat(normalize(name), F.lit(".rb")))
+    far = named.join(_from_roots(files, roots), ["repo", "rel"]).groupBy("repo", "specifier").agg(F.min_by("path", "root_ord").alias("far"))
+    joined = imports.join(near, keys, "left").join(far, ["repo", "specifier"], "left").withColumn("target", F.coalesce("near", "far"))
     return _outcome(joined, F.when(F.col("specifier").startswith("."), "not-found").otherwise("external")).select(*imports.columns, "outcome", "target")

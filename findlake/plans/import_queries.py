@@ -34,7 +34,7 @@ def alias_imports(spark, sf_dir):
     files = parts.where("s % 2 = 0").select("repo", _path("src/", A(), "/", N(), "/k", K(), ".ts").alias("path"))
     spec = F.when(S() % 10 == 1, _path("#", A())).when(S() % 10 == 3, _path("react-", N())).otherwise(_path("@app/", A(), "/", N(), "/k", K()))
     imports = parts.select("repo", _path("app/i", K(), ".ts").alias("file"), F.col("k").cast("int").alias("line"), spec.alias("specifier"), F.lit(".").alias("scope"))
-    aliases = spark.createDataFrame([("r", ".", 0, "@app/*", 0, "gone/*"), ("r", ".", 0, "@app/*", 1, "./src/*")], "repo string, scope string, ord int, pattern string, target_ord int, target string")
+    aliases = spark.createDataFrame([("r", ".", 0, "@app/*", 0, "gone/*"), ("r", ".", 0, "@app/*", 1, "./src/*"), *(("r", ".", k, f"@other{k}/*", 0, "src/*") for k in range(1, 60))], "repo string, scope string, ord int, pattern string, target_ord int, target string")
     packages = spark.createDataFrame([("r", "unused", "u")], "repo string, name string, module string")
     found = resolve.resolve_scripts(imports, files, packages, aliases)
     return found.select(F.col("line").cast("long").alias("k"), "specifier", "outcome", "target")
@@ -73,7 +73,7 @@ def snake_imports(spark, sf_dir):
     leaf = parts.where("s % 2 = 0").select("repo", _path("lib/", A(), "_", N(), "/k", K(), ".ex").alias("path"))
     bolt = parts.where("n = 'bolt'").select("repo", _path("web/", A(), "_", N(), ".exs").alias("path"))
     imports = parts.select("repo", "k", F.concat(F.initcap("a"), F.initcap("n"), F.lit(".K"), K()).alias("specifier"))
-    roots = spark.createDataFrame([("r", "lib", 0), ("r", "web", 1)], "repo string, root string, root_ord int")
+    roots = spark.createDataFrame([("r", "lib", 0), ("r", "web", 1), *(("r", f"none{k}/deep", k) for k in range(2, 60))], "repo string, root string, root_ord int")
     return resolve.snake_path(imports, roots, leaf.unionByName(bolt).distinct()).select("k", "outcome", "target")
 
 
@@ -119,7 +119,7 @@ def require_imports(spark, sf_dir):
     lib = parts.where("s % 2 = 0").select("repo", _path("lib/k", K(), ".rb").alias("path"))
     spec = F.when((S() % 5 == 0) & (S() % 2 == 1), _path("./k", K(), ".rb")).otherwise(_path("k", K()))
     imports = parts.select("repo", "k", _path("app/", A(), "/main.rb").alias("file"), spec.alias("specifier"))
-    roots = spark.createDataFrame([("r", "lib", 0)], "repo string, root string, root_ord int")
+    roots = spark.createDataFrame([("r", "lib", 0), *(("r", f"none{k}/deep", k) for k in range(1, 60))], "repo string, root string, root_ord int")
     return resolve.require_path(imports, roots, near.unionByName(lib)).select("k", "outcome", "target")
 
 
