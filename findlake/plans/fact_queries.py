@@ -187,7 +187,8 @@ def claim_grounding(spark, sf_dir):
     issue = F.struct(at.cast("string").alias("line"), quote.alias("quote"), F.concat(F.lit("claim "), F.col("line").cast("string")).alias("title"), F.lit("because").alias("why"))
     reply = F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(issue).alias("issues"))), F.lit(" done"))
     replies = turns.select("repo", F.concat_ws("#", "file", "line").alias("file"), reply.alias("reply"))
-    shown = turns.join(turns.select("repo", "file", F.col("line").alias("asked")), ["repo", "file"]).where("line BETWEEN asked AND asked + 1")
+    asked = turns.select("repo", "file", F.col("line").alias("asked")).withColumn("line", F.explode(F.array("asked", F.col("asked") + 1)))
+    shown = turns.join(asked, ["repo", "file", "line"])
     near = shown.select("repo", F.concat_ws("#", "file", "asked").alias("file"), "line", "text")
     found = semantic.claims(replies, near, near.limit(0))
     return found.select(F.split("file", "#")[0].cast("long").alias("file"), F.split("file", "#")[1].cast("long").alias("pos"), "status")

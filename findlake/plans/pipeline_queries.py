@@ -69,9 +69,9 @@ def _analysis(spark, sf_dir):
     manifests = named.select(
         F.lit("shop").alias("repo"), F.concat(F.lit("packages/b"), "brand").alias("dir"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("@shop/"), word, F.lit("-"), "brand").alias("name"), F.lit(False).alias("member")
     )
-    # A file imports its neighbour by number when both sizes are small, the way shelves lean on each other.
+    # A file imports its neighbour by number.
     other = parts.select((F.col("p_partkey") - 7).alias("p_partkey"), F.col("brand").alias("to"))
-    pairs = parts.where("p_size <= 5").join(other, "p_partkey").select("path", "to", "p_partkey")
+    pairs = parts.join(other, "p_partkey").select("path", "to", "p_partkey")
     imports = pairs.select(
         F.lit("shop").alias("repo"), F.col("path").alias("file"), F.lit(1).alias("line"), F.concat(F.lit("../b"), "to", F.lit("/p"), (F.col("p_partkey") + 7).cast("string")).alias("specifier"), F.lit(None).cast("string").alias("scope")
     )
@@ -84,7 +84,7 @@ def _analysis(spark, sf_dir):
 
 SHOP_SQL = """
 p AS (SELECT p_partkey AS k, p_size AS s, regexp_extract(p_brand, '(\\d+)', 1) AS b FROM part),
-e AS (SELECT 'packages/b' || x.b AS src, 'packages/b' || y.b AS dst, count(*) AS n FROM p x JOIN p y ON y.k = x.k + 7 WHERE x.s <= 5 AND x.b <> y.b GROUP BY 1, 2)"""
+e AS (SELECT 'packages/b' || x.b AS src, 'packages/b' || y.b AS dst, count(*) AS n FROM p x JOIN p y ON y.k = x.k + 7 WHERE x.b <> y.b GROUP BY 1, 2)"""
 
 
 @query("analysis_edges", f"WITH {SHOP_SQL} SELECT src, dst, 'import' AS kind, n AS evidence_count FROM e")

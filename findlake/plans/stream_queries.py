@@ -12,7 +12,7 @@ from findlake.plans.registry import query
 from findlake.plans.tables import FINDINGS_SQL, SESSIONS_SQL, SPLIT, findings, table
 from findlake.schemas import LEDGER
 from findlake.session import checkpoint_root
-from findlake.streaming.jobs import LEDGER_KEYS, ledger_stream, lifecycle_stream, weekly_changes
+from findlake.streaming.jobs import LEDGER_KEYS, WEEKS, ledger_stream, lifecycle_stream, weekly_stream
 from findlake.streaming.state import StateTable
 
 
@@ -79,15 +79,13 @@ def stream_lifecycle(spark, sf_dir):
     "stream_weekly_trends",
     f"""WITH {FINDINGS_SQL},
 w AS (SELECT CAST(floor(epoch_us(ts) / 604800000000) AS BIGINT) AS week, count(*) FILTER (category IN ('signup', 'error')) AS introduced, count(*) FILTER (category = 'purchase') AS resolved FROM findings GROUP BY 1)
-SELECT strftime(make_timestamp(week * 604800000000), '%Y-%m-%d') AS week_start, introduced, resolved FROM w
-WHERE (week + 1) * 604800000000 <= (SELECT max(epoch_us(ts)) - 86400000000 FROM findings)""",
+SELECT strftime(make_timestamp(week * 604800000000), '%Y-%m-%d') AS week_start, introduced, resolved FROM w""",
 )
 def stream_weekly_trends(spark, sf_dir):
     events = findings(spark, sf_dir, _events_stream(spark, sf_dir))
     change = F.when(F.col("category").isin("signup", "error"), "introduced").when(F.col("category") == "purchase", "resolved")
-    weekly = weekly_changes(events.withColumn("change", change))
     place = _workspace(spark, "weekly")
-    running = weekly.writeStream.outputMode("append").format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    running = weekly_stream(events.withColumn("change", change), f"{place}/weeks", f"{place}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    out = spark.read.schema("week_start timestamp, introduced long, resolved long").parquet(f"{place}/out")
+    out = StateTable(f"{place}/weeks", ["week_start"], WEEKS).before(spark, _batches(spark, running))
     return out.select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "introduced", "resolved")

@@ -129,9 +129,12 @@ def lifecycle_stream(
     return requests.writeStream.foreachBatch(lifecycle_batch(state, machine, ord_col, target, rejected_path)).option("checkpointLocation", checkpoint)
 
 
+WEEKS = "week_start timestamp, introduced long, resolved long"
+
+
 def weekly_changes(changes: DataFrame, time: str = "ts", kind: Column | None = None, late: str = "1 day") -> DataFrame:
-    """Introduced and resolved per week of event time. Rows later than ``late`` behind the newest
-    are dropped by the watermark; a week is emitted once it can no longer change."""
+    """Introduced and resolved per week of event time. The watermark lets Spark forget a week that
+    is ``late`` behind the newest row; until then every change of its counts is sent again."""
     what = F.col("change") if kind is None else kind
     return (
         changes.withWatermark(time, late)
@@ -139,3 +142,16 @@ def weekly_changes(changes: DataFrame, time: str = "ts", kind: Column | None = N
         .agg(F.count_if(what == "introduced").alias("introduced"), F.count_if(what == "resolved").alias("resolved"))
         .select(F.col("week.start").alias("week_start"), "introduced", "resolved")
     )
+
+
+def weekly_stream(changes: DataFrame, path: str, checkpoint: str, late: str = "1 day") -> DataStreamWriter:
+    """Keep the counts of every week, open ones too, at ``path``: each batch replaces the weeks it changed."""
+    state = StateTable(path, ["week_start"], WEEKS)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        moved = materialize(batch, "weeks")
+        kept = state.before(spark, batch_id).join(moved.select("week_start"), "week_start", "left_anti")
+        state.write(spark, batch_id, moved, kept.unionByName(moved))
+
+    return weekly_changes(changes, late=late).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
