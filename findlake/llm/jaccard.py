@@ -22,8 +22,6 @@ their order when a task is run again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,71 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findlake.llm.components import components
-from findlake.llm.grams import U64, distinct, mix, ngrams, words
-from findlake.llm.scratch import drop, prepare, written
+from findlake.llm.grams import U64, distinct, ngrams, words
+from findlake.llm.packing import LOW, Batches, block_of, groups_of, owners, pack, runs, slices_of, unpack
+from findlake.llm.scratch import prepare, written
 
 WORDS = 5
 #: Similarity of a link: NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Text of a packed slice, bytes, and shingles of it that a block should get at least.
 SLICE, PER_BLOCK = 4 << 20, 64
-_LOW = U64((1 << 48) - 1)
-
-Batches = Iterator[pa.RecordBatch]
-
-
-# --- packing: 48 bits of a shingle beside its block, and documents as run lengths ------------
-
-
-def _pack(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def _runs(owner: np.ndarray, n: int) -> bytes:
-    counts = np.bincount(owner, minlength=n)
-    return counts.astype(np.uint8 if not n or counts.max() < 256 else "<u4").tobytes()
-
-
-def _owners(runs: bytes, n: int) -> np.ndarray:
-    return np.repeat(np.arange(n), np.frombuffer(runs, np.uint8 if len(runs) == n else "<u4"))
-
-
-def _blocks(value: np.ndarray, number: int) -> np.ndarray:
-    return (((value >> U64(48)) * U64(number)) >> U64(16)).astype(np.int64)
-
-
-def _slices(source: Batches, size: int) -> Iterator[tuple[list, list]]:
-    ids, texts, total = [], [], 0
-    for batch in source:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(key)
-            texts.append(text)
-            total += len(text or "") + 1
-            if total >= size:
-                yield ids, texts
-                ids, texts, total = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _groups(source: Batches) -> Iterator[list[dict]]:
-    """Neighbouring rows that share their first column."""
-    rows: list[dict] = []
-    for batch in source:
-        for row in batch.to_pylist():
-            key = next(iter(row.values()))
-            if rows and next(iter(rows[0].values())) != key:
-                yield rows
-                rows = []
-            rows.append(row)
-    if rows:
-        yield rows
 
 
 def shared_shingles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -114,28 +56,28 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def incidences(source: Batches) -> Batches:
         base = TaskContext.get().partitionId() << 33
-        for ids, texts in _slices(source, size):
+        for ids, texts in slices_of(source, size):
             hashes, counts = words(texts)
             owner, _, value = ngrams(hashes, counts, WORDS, short=True)
             owner, value = distinct(owner, value)
             n = len(ids)
-            block = _blocks(value, number)
+            block = block_of(value, number)
             order = np.argsort(block, kind="stable")
             bounds = np.searchsorted(block[order], np.arange(number + 1))
-            owner_at, value_at = owner[order], value[order] & _LOW
+            owner_at, value_at = owner[order], value[order] & LOW
             out = [{"block": base % number, "base": base, "docs": n, "runs": np.bincount(owner, minlength=n).astype("<u4").tobytes(), "shingles": None, "counts": None, "ids": ids}]
             for k in np.flatnonzero(np.diff(bounds)).tolist():
                 lo, hi = bounds[k], bounds[k + 1]
-                out.append({"block": k, "base": base, "docs": n, "runs": _runs(owner_at[lo:hi], n), "shingles": _pack(value_at[lo:hi]), "counts": None, "ids": None})
+                out.append({"block": k, "base": base, "docs": n, "runs": runs(owner_at[lo:hi], n), "shingles": pack(value_at[lo:hi]), "counts": None, "ids": None})
             yield pa.RecordBatch.from_pylist(out, arrow)
             base += n
 
     def columns(source: Batches) -> Batches:
-        for rows in _groups(source):
+        for rows in groups_of(source):
             out = [r for r in rows if r["ids"] is not None]
             rows = [r for r in rows if r["ids"] is None]
             if rows:
-                values = [_unpack(r["shingles"]) for r in rows]
+                values = [unpack(r["shingles"]) for r in rows]
                 _, which, often = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
                 often = often[which]
                 at = 0
@@ -144,23 +86,23 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     at += len(value)
                     keep = count > 1
                     if keep.any():
-                        owner = _owners(r["runs"], r["docs"])[keep]
-                        out.append(r | {"runs": _runs(owner, r["docs"]), "shingles": _pack(value[keep]), "counts": count[keep].astype("<u4").tobytes()})
+                        owner = owners(r["runs"], r["docs"])[keep]
+                        out.append(r | {"runs": runs(owner, r["docs"]), "shingles": pack(value[keep]), "counts": count[keep].astype("<u4").tobytes()})
             if out:
                 yield pa.RecordBatch.from_pylist(out, arrow)
 
     result = pa.schema([("row", pa.int64()), ("doc_id", arrow_kind), ("n_shingles", pa.int64()), ("shared", pa.list_(pa.int64()))])
 
     def documents(source: Batches) -> Batches:
-        for rows in _groups(source):
+        for rows in groups_of(source):
             head = next(r for r in rows if r["ids"] is not None)
             rows = [r for r in rows if r["ids"] is None]
             n, base = head["docs"], head["base"]
             total = np.frombuffer(head["runs"], "<u4").astype(np.int64)
             shared: list[np.ndarray | None] = [None] * n
             if rows:
-                owner = np.concatenate([_owners(r["runs"], n) for r in rows])
-                value = np.concatenate([_unpack(r["shingles"]) | (U64(r["block"]) << U64(48)) for r in rows])
+                owner = np.concatenate([owners(r["runs"], n) for r in rows])
+                value = np.concatenate([unpack(r["shingles"]) | (U64(r["block"]) << U64(48)) for r in rows])
                 often = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
                 held = np.bincount(owner, minlength=n)
                 passed = (held > 0) & (DENOMINATOR * held >= NUMERATOR * total)
