@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findlake.llm.grams import U64, mix, words
-from findlake.llm.packing import LOW, Batches, block_of, groups_of, pack, slices_of, unpack
+from findlake.llm.packing import LOW, Batches, block_of, groups_of, pack, slices_of, thick, thin, unpack
 from findlake.llm.scratch import drop, prepare, written
 
 BACKOFF = 0.4
@@ -155,24 +155,45 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def batch(out: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(out, parts_arrow)
 
-    def sums(base: int, n: int, owner: np.ndarray, value: np.ndarray) -> dict:
-        """Values added up by document, for the documents that have any."""
-        who, at = np.unique(owner, return_inverse=True)
-        added = np.zeros(len(who), np.int64)
-        np.add.at(added, at, value)
-        return row(block=base % number, kind="sum", base=base, docs=n, first=added.astype("<i8").tobytes(), owner=who.astype("<u4").tobytes())
-
-    def asked(base: int, n: int, owner: np.ndarray, word: np.ndarray, out: list[dict]) -> None:
-        """Words to be scored by their own count: at once if common, else where their count is."""
-        known = _lookup(common, common_n, word)
-        have = known > 0
-        if have.any():
-            out.append(sums(base, n, owner[have], _units(BACKOFF * known[have] / total)))
-        owner, word = owner[~have], word[~have]
-        order = np.argsort(word)
-        owner, word = owner[order], word[order]
-        for k, at in _by_block(word, number):
-            out.append(row(block=k, kind="ask", base=base, docs=n, second=pack(word[at]), owner=owner[at].astype("<u4").tobytes()))
+    class Gathered:
+        """What a task has for documents of several slices: values to add, and words to ask about."""
+
+        def __init__(self):
+            self.values: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            self.words: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def add(self, base: int, owner: np.ndarray, value: np.ndarray) -> None:
+            if len(owner):
+                self.values.setdefault(base, []).append((owner, value))
+
+        def ask(self, base: int, owner: np.ndarray, word: np.ndarray) -> None:
+            """Words to be scored by their own count: at once if common, else where their count is."""
+            known = _lookup(common, common_n, word)
+            have = known > 0
+            self.add(base, owner[have], _units(BACKOFF * known[have] / total))
+            if not have.all():
+                self.words.setdefault(base, []).append((owner[~have], word[~have]))
+
+        def rows(self) -> list[dict]:
+            out = []
+            for base, parts in self.values.items():
+                who, at = np.unique(np.concatenate([o for o, _ in parts]), return_inverse=True)
+                added = np.zeros(len(who), np.int64)
+                np.add.at(added, at, np.concatenate([v for _, v in parts]))
+                out.append(row(block=base % number, kind="sum", base=base, first=thin(added), owner=thin(who)))
+            if self.words:
+                bases = np.array(list(self.words), "<i8")
+                owner = np.concatenate([o for parts in self.words.values() for o, _ in parts])
+                word = np.concatenate([w for parts in self.words.values() for _, w in parts])
+                of = np.repeat(np.arange(len(bases)), [sum(len(o) for o, _ in parts) for parts in self.words.values()])
+                block = block_of(word << U64(16), number)
+                order = np.argsort(block, kind="stable")
+                bounds = np.searchsorted(block[order], np.arange(number + 1))
+                for k in np.flatnonzero(np.diff(bounds)).tolist():
+                    part = order[bounds[k] : bounds[k + 1]]
+                    size = thin(np.bincount(of[part], minlength=len(bases)))
+                    out.append(row(block=k, kind="ask", first=bases.tobytes(), size=size, second=pack(word[part]), owner=thin(owner[part])))
+            return out
 
     def bigrams(source: Batches) -> Batches:
         base = TaskContext.get().partitionId() << 33
@@ -183,9 +204,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             out = [row(block=base % number, kind="head", base=base, docs=n, size=sizes.astype("<u4").tobytes(), ids=ids)]
             heads = np.ones(len(word), bool)
             heads[1:] = owner[1:] != owner[:-1]
-            if len(word):
-                out.append(sums(base, n, owner[heads], np.full(heads.sum(), -_units(np.array([BACKOFF]))[0])))
-                asked(base, n, owner[heads], word[heads], out)
+            gathered = Gathered()
+            gathered.add(base, owner[heads], np.full(heads.sum(), -_units(np.array([BACKOFF]))[0]))
+            gathered.ask(base, owner[heads], word[heads])
+            out += gathered.rows()
             at = np.flatnonzero(~heads)
             first, second, owner = word[at - 1], word[at], owner[at]
             often = _lookup(common, common_n, first) > 0
@@ -197,10 +219,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 for k, part in _by_block(r, number):
                     if what == "rare":
                         head = np.flatnonzero(np.concatenate(([True], f[part][1:] != f[part][:-1])))
-                        lead, size = pack(f[part][head]), np.diff(np.append(head, len(f[part]))).astype("<u4").tobytes()
+                        lead, size = pack(f[part][head]), thin(np.diff(np.append(head, len(f[part]))))
                     else:
                         lead, size = np.searchsorted(common, f[part]).astype("<u2").tobytes(), None
-                    out.append(row(block=k, kind=what, base=base, docs=n, first=lead, size=size, second=pack(s[part]), owner=o[part].astype("<u4").tobytes()))
+                    out.append(row(block=k, kind=what, base=base, docs=n, first=lead, size=size, second=pack(s[part]), owner=thin(o[part])))
             yield batch(out)
             base += n
 
@@ -213,7 +235,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             firsts, counted = [], []
             for r in held:
                 if r["kind"] == "rare":
-                    lead, size = unpack(r["first"]), np.frombuffer(r["size"], "<u4")
+                    lead, size = unpack(r["first"]), thick(r["size"])
                     firsts.append(np.repeat(lead, size))
                     counted.append(np.repeat(_lookup(*own, lead), size))
                 else:
@@ -221,8 +243,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     firsts.append(common[at])
                     counted.append(common_n[at])
             if held:
+                gathered = Gathered()
                 seconds = [unpack(r["second"]) for r in held]
-                who = [np.frombuffer(r["owner"], "<u4") for r in held]
+                who = [thick(r["owner"]) for r in held]
                 pair = mix(np.concatenate(firsts) * U64(0x9E3779B97F4A7C15) + mix(np.concatenate(seconds) + U64(1)))
                 document = mix(np.concatenate([np.full(len(w), r["base"], np.int64) + w for w, r in zip(who, held, strict=True)]).astype(U64))
                 _, which, often = np.unique(pair, return_inverse=True, return_counts=True)
@@ -233,10 +256,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     rest = others[done : done + len(w)]
                     done += len(w)
                     found = rest > 0
-                    if found.any():
-                        out.append(sums(r["base"], r["docs"], w[found], _units(rest[found] / c[found])))
-                    if not found.all():
-                        asked(r["base"], r["docs"], w[~found], second[~found], out)
+                    gathered.add(r["base"], w[found], _units(rest[found] / c[found]))
+                    gathered.ask(r["base"], w[~found], second[~found])
+                out += gathered.rows()
             if out:
                 yield batch(out)
 
@@ -244,10 +266,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for group in groups_of(source):
             out = [r for r in group if r["kind"] in ("head", "sum")]
             table = next((r for r in group if r["kind"] == "words"), None)
+            gathered = Gathered()
             for r in group:
                 if r["kind"] == "ask":
                     n = _lookup(unpack(table["first"]), np.frombuffer(table["second"], "<i8"), unpack(r["second"]))
-                    out.append(sums(r["base"], r["docs"], np.frombuffer(r["owner"], "<u4"), _units(BACKOFF * n / total)))
+                    value, owner, at = _units(BACKOFF * n / total), thick(r["owner"]), 0
+                    for base, size in zip(np.frombuffer(r["first"], "<i8").tolist(), thick(r["size"]).tolist(), strict=True):
+                        gathered.add(base, owner[at : at + size], value[at : at + size])
+                        at += size
+            out += gathered.rows()
             if out:
                 yield batch(out)
 
@@ -259,7 +286,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             added = np.zeros(head["docs"], np.int64)
             for r in group:
                 if r["kind"] == "sum":
-                    added[np.frombuffer(r["owner"], "<u4")] += np.frombuffer(r["first"], "<i8")
+                    added[thick(r["owner"])] += thick(r["first"])
             yield pa.RecordBatch.from_arrays([pa.array(head["ids"], id_type), pa.array(np.frombuffer(head["size"], "<u4").astype(np.int64)), pa.array(added)], schema=result)
 
     none = F.lit(None)

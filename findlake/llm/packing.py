@@ -38,6 +38,20 @@ def owners(data: bytes, n: int) -> np.ndarray:
     return np.repeat(np.arange(n), np.frombuffer(data, np.uint8 if len(data) == n else "<u4"))
 
 
+_KINDS = ("<u1", "<u2", "<u4", "<i4", "<i8")
+
+
+def thin(values: np.ndarray) -> bytes:
+    """Integers in the narrowest kind that holds them all, which the first byte names."""
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    k = next(k for k, kind in enumerate(_KINDS) if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max)
+    return bytes([k]) + values.astype(_KINDS[k]).tobytes()
+
+
+def thick(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, _KINDS[data[0]], offset=1).astype(np.int64)
+
+
 def block_of(value: np.ndarray, number: int) -> np.ndarray:
     """Which of ``number`` blocks a 64-bit value lies in, by its top bits."""
     return (((value >> U64(48)) * U64(number)) >> U64(16)).astype(np.int64)
