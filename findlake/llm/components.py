@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from findlake.llm.scratch import drop, written
 
 
-def _lowest(edges: DataFrame) -> DataFrame:
-    """``u, v, low``: each edge with the least of ``u`` and its neighbours ``v``."""
-    least = edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return edges.join(least.hint("merge"), "u")
+def _least(edges: DataFrame) -> DataFrame:
+    """``u, low``: the least of each ``u`` and its neighbours ``v``. It is written, so that its join
+    with the edges exchanges both sides and a node of many edges can be split."""
+    return written(edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "least")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,12 +25,14 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lowest(both).where("v > u and v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        least = _least(both)
+        large = both.join(least.hint("merge"), "u").where("v > u and v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = written(large.distinct(), "edges")
-        down = _lowest(large)
+        lower = _least(large)
+        down = large.join(lower.hint("merge"), "u")
         small = down.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(down.select("u", F.col("low").alias("v")))
         turned = written(small.distinct(), "edges")
-        drop(edges, large)
+        drop(edges, least, large, lower)
         edges = turned
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from findlake.llm.components import components
 from findlake.llm.grams import U64, distinct, ngrams, words
 from findlake.llm.packing import LOW, Batches, block_of, groups_of, owners, pack, runs, slices_of, unpack
-from findlake.llm.scratch import prepare, written
+from findlake.llm.scratch import drop, prepare, written
 
 WORDS = 5
 #: Similarity of a link: NUMERATOR / DENOMINATOR.
@@ -157,7 +157,7 @@ def _hubs(postings: DataFrame) -> DataFrame:
 
 def _with_hub(postings: DataFrame) -> DataFrame:
     """``u, v``: each document with its best hub in another component."""
-    hubs = _hubs(postings)
+    hubs = written(_hubs(postings), "hubs")
     other = F.when(F.col("first.root") != F.col("root"), F.col("first")).otherwise(F.col("second"))
     met = postings.join(hubs.hint("merge"), "token").withColumn("hub", other).withColumn("m", F.col("hub.n"))
     chosen = met.where(_fits("n", "m")).groupBy("row").agg(F.min("hub").alias("hub"))
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
     rooted = _rooted(postings, links)
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    mixed = written(rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "mixed")
     open_ = written(rooted.join(mixed.hint("merge"), "token", "left_semi"), "open")
     a, b = open_.alias("a"), open_.alias("b")
     near = F.least("a.left", "b.left") * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.col("a.n") + F.col("b.n"))
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(met.select(F.col("a.row").alias("u"), F.col("b.row").alias("v")).distinct().join(done, ["u", "v"], "left_anti"), "pairs")
     links = links.unionByName(written(_links(pairs, live), "links"))
     roots = written(components(links), "roots")
+    drop(postings, mixed, open_)
     named = roots.join(sets.select(F.col("row").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    grouped = roots.join(named, "root").select(F.col("node").alias("row"), "component_id")
+    grouped = roots.join(written(named, "named").hint("merge"), "root").select(F.col("node").alias("row"), "component_id")
     return sets.select("row", "doc_id", "n_shingles").join(grouped, "row", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
