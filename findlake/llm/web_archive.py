@@ -282,4 +282,6 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     if keep is None:
         delete(spark, warc)
     named = rows.where("record_type = 'response'").groupBy("record_id").agg(F.max("page").alias("refers_to")).withColumnRenamed("record_id", "refers_to_record")
-    return rows.join(named.hint("merge"), "refers_to_record", "left")
+    # responses refer to nothing: they stay out of the join, where they would all meet in one task
+    joined = rows.where("refers_to_record is not null").join(named.hint("merge"), "refers_to_record", "left")
+    return rows.where("refers_to_record is null").withColumn("refers_to", F.lit(None).cast("string")).unionByName(joined)
