@@ -60,6 +60,9 @@ SCAN_EXTENSIONS = (
     "gd", "astro",
 )
 
+# --- fixed values: languages that share the concept table of the first ---
+SCRIPT_FAMILY = ("javascript", "jsx", "typescript", "tsx", "vue", "svelte", "astro")
+
 # --- fixed values: lifecycle states and the moves each one allows ---
 LEDGER_STATES = ("open", "acknowledged", "resolved", "dismissed", "reopened")
 LEDGER_ACTIVE = ("open", "acknowledged", "reopened")

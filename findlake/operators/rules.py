@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.functions.fixed import KNOWN_TOKEN_MARKS, KNOWN_TOKEN_PATTERNS
+from findlake.functions.fixed import KNOWN_TOKEN_MARKS, KNOWN_TOKEN_PATTERNS, SCRIPT_FAMILY
 from findlake.functions.identity import content_anchor
 from findlake.functions.paths import basename, extension, is_test_path
 from findlake.functions.secrets import named_literals
@@ -164,15 +164,17 @@ def call_concepts(calls: DataFrame, compiled: DataFrame) -> DataFrame:
     """Concept of each call: the lowest entry in table order that names its callee, per concept.
 
     Calls are reduced to the distinct (language, callee) vocabulary first; exact entries are an
-    equi join, and a wildcard meets only callees that share its literal method or receiver.
+    equi join, and a wildcard meets only callees that share its literal method or receiver. The
+    script languages share one table.
     """
-    words = calls.select("language", "callee").distinct()
+    family = F.when(F.col("language").isin(*SCRIPT_FAMILY), SCRIPT_FAMILY[0]).otherwise(F.col("language"))
+    words = calls.select("language", "callee").distinct().withColumn("family", family)
     parts = F.split("callee", r"\.")
     asked = F.array(
         F.concat(F.lit("e|"), "callee"), F.concat(F.lit("t|"), F.element_at(parts, -1)), F.concat(F.lit("h|"), F.element_at(parts, 1)), F.lit("any")
     )
-    met = words.select("language", "callee", F.explode(asked).alias("lookup")).join(
-        compiled.select("language", "lookup", "concept", "ord", "argument", "regex"), ["language", "lookup"]
+    met = words.select("language", "family", "callee", F.explode(asked).alias("lookup")).join(
+        compiled.select(family.alias("family"), "lookup", "concept", "ord", "argument", "regex"), ["family", "lookup"]
     )
     hits = met.where(F.expr("callee RLIKE regex")).groupBy("language", "callee", "concept").agg(F.min(F.struct("ord", "argument")).alias("e"))
     return calls.join(hits.select("language", "callee", "concept", F.col("e.argument").alias("argument")), ["language", "callee"])

@@ -53,9 +53,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concept, argument FROM ca
 )
 def call_concepts(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("callee"))
-    calls = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "callee", F.lit("python").alias("language"))
+    spoken = F.element_at(F.array(*[F.lit(x) for x in ("typescript", "vue", "javascript")]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    calls = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "callee", spoken.alias("language"))
     entries = [("paint", 0, "red.widget@1"), ("paint", 1, "*.gear"), ("paint", 2, "red.*@2"), ("size", 3, "small.*"), ("size", 4, "{small,large}.ring@3"), ("any-bolt", 5, "*bolt")]
-    concept_table = spark.createDataFrame([(c, "python", o, e) for c, o, e in entries], "concept string, language string, ord int, entry string")
+    concept_table = spark.createDataFrame([(c, "javascript", o, e) for c, o, e in entries], "concept string, language string, ord int, entry string")
     return rules.call_concepts(calls, rules.compile_concepts(concept_table)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "concept", "argument")
 
 
