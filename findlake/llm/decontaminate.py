@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every benchmark item is cut into seeds of ``SEED_WORDS`` words. A first pass over the documents
-counts in how many of them each seed occurs; the rarer half of an item's seeds, ties included,
-stands for it. A second pass looks those up in every document, gathers the hits of an item that lie
-near each other, and aligns the item's words with the document's words there. The alignment allows
-for changed, added and missing words; its score over that of a perfect copy is the similarity.
+Every benchmark item is cut into seeds of ``SEED_WORDS`` words. All of them, frequent ones too, are
+looked up in every document; the hits of an item that lie near each other are gathered, and the
+item's words aligned with the document's words there, unless too few of them stand there at all.
+The alignment allows for changed, added and missing words; its score over that of a perfect copy is
+the similarity.
 
-Documents are never shuffled: both passes are one narrow stage, so a passage that a third of all
+Documents are never shuffled: the pass is one narrow stage, so a passage that a third of all
 documents share costs each task its own share. The benchmark is the stated query set. It is taken
 in blocks of at most about ``BLOCK_BYTES`` of text, each a pass of its own over all documents.
 Words are runs of ASCII letters and digits and of other characters, A-Z lower-cased.
@@ -47,15 +47,6 @@ class Seeds:
     def length(self, item: int) -> int:
         return int(self.first[item + 1] - self.first[item])
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        """In how many of the texts each seed stands."""
-        total = np.zeros(len(self.seeds), np.int64)
-        for lo, hi in slices([len(t or "") for t in texts]):
-            text, _, at = self._hits(texts[lo:hi])[:3]
-            pairs = np.unique(text * len(self.seeds) + at)
-            total += np.bincount(pairs % len(self.seeds), minlength=len(self.seeds))
-        return total
-
     def _hits(self, texts):
         body, counts = words(texts, plain=True)
         text, place, value = ngrams(body, counts, SEED_WORDS)
@@ -64,19 +55,6 @@ class Seeds:
         hit = self.seeds[at] == value
         return text[hit], place[hit], at[hit], body, counts
 
-    def keep_rare(self, found: np.ndarray) -> None:
-        """Keep, of each item, the seeds no more frequent than its median seed."""
-        often = found[np.searchsorted(self.seeds, self.value)]
-        keep = np.zeros(len(self.value), bool)
-        order = np.lexsort((often, self.item))
-        bounds = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            own = order[lo:hi]
-            if len(own):
-                keep[own] = often[own] <= often[own[(len(own) - 1) // 2]]
-        self.item, self.place, self.value = self.item[keep], self.place[keep], self.value[keep]
-        self.seeds = np.unique(self.value)
-
     def matches(self, texts: list[str | None], least: float) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, word after the last) of every alignment of at least
         ``least``; alignments of one item in one text don't share seeds."""
@@ -101,6 +79,8 @@ class Seeds:
                 low, high = max(0, int(p[h]) - 2 * n), min(int(counts[k]), int(p[e - 1]) + 2 * n + SEED_WORDS)
                 window = body[starts[k] + low : starts[k] + high]
                 own = self.words[self.first[i] : self.first[i + 1]]
+                if np.isin(own, window).sum() < least * n:  # each word adds MATCH at most
+                    continue
                 score, end = align(own, window)
                 if score >= least * MATCH * n:
                     back, size = align(own[::-1], window[:end][::-1])
@@ -124,31 +104,17 @@ def align(item: np.ndarray, body: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", doc_text_col: str = "text") -> Iterator[Seeds]:
-    """The benchmark block by block, each with its rare seeds among ``docs``."""
+def blocks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Seeds]:
+    """The benchmark block by block, for a search in ``docs``."""
     prepare(docs.sparkSession)
     items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[text_col].cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = size // BLOCK_BYTES + 1
-    texts = docs.select(docs[doc_text_col].cast("string").alias("text"))
     for k in range(number):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).orderBy("item_id", "text").collect()
         seeds = Seeds([r["item_id"] for r in rows], [r["text"] for r in rows])
-        if not len(seeds.seeds):
-            continue
-
-        def counted(source: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(seeds.seeds), np.int64)
-            for batch in source:
-                total += seeds.counts(batch.column(0).to_pylist())
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
-
-        often = np.zeros(len(seeds.seeds), np.int64)
-        for r in texts.mapInArrow(counted, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            often[r["seed"]] = r["n"]
-        seeds.keep_rare(often)
-        yield seeds
+        if len(seeds.seeds):
+            yield seeds
 
 
 def matches(
@@ -176,7 +142,7 @@ def matches(
 
         return rows.mapInArrow(search, schema)
 
-    parts = [searched(seeds) for seeds in blocks(docs, benchmark, item_col, item_text_col, text_col)]
+    parts = [searched(seeds) for seeds in blocks(docs, benchmark, item_col, item_text_col)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -199,6 +165,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR, text_co
         return docs.mapInArrow(kept, docs.schema)
 
     out = docs
-    for seeds in list(blocks(docs, benchmark, doc_text_col=text_col)):
+    for seeds in list(blocks(docs, benchmark)):
         out = without(out, seeds)
     return out

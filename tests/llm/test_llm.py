@@ -474,6 +474,35 @@ def test_contamination_in_blocks_and_of_a_frequent_passage(spark, monkeypatch):
     assert {r.doc_id for r in decontaminate.clean(documents(spark, texts), benchmark).collect()} == set(range(30, 35))
 
 
+def plain_similarity(item, text):
+    """Of the best alignment, over all of the text."""
+    a, b = item.lower().split(), (text or "").lower().split()
+    best, above = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, above[j] + (2 if x == y else -1), above[j + 1] - 1, row[j] - 1))
+        best, above = max(best, *row), row
+    return best / (2 * len(a))
+
+
+def test_contamination_where_every_copy_is_edited(spark):
+    """Most seeds of such an item stand in no document."""
+    items = [long_text(n, 3000 + n) for n in (18, 24, 30, 41)]
+    texts = [f"{long_text(30, k)} {' '.join('other' if i % 6 == 5 else w for i, w in enumerate(t.split()))} {long_text(30, 50 + k)}" for k, t in enumerate(items)]
+    # a frequent half and a rare half of one item
+    halved = long_text(32, 4000)
+    items.append(halved)
+    texts += [f"{long_text(9, 90 + k)} {' '.join(halved.split()[:17])} {long_text(9, 120 + k)}" for k in range(6)] + [" ".join(halved.split()[15:])]
+    texts += [long_text(80, 200 + k) for k in range(5)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents(spark, texts)
+    want = {(d, i): s for d, t in enumerate(texts) for i, item in enumerate(items) if (s := plain_similarity(item, t)) >= decontaminate.SIMILAR}
+    assert len(want) == 11
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(docs, benchmark).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == set(range(11, 16))
+
+
 def test_alignment_scores_like_the_full_table():
     rng = random.Random(4)
     for _ in range(200):
