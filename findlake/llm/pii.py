@@ -165,7 +165,7 @@ def homoglyphs(text: str) -> Rewrite:
 # fixed values: the words by which people spell the two marks
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase", "dot|punkt|punto|point"
 _OPEN, _CLOSE = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
-_AT = re.compile(rf"(?P<boxed>\s?{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}\s?)|(?P<plain>(?<=[A-Za-z0-9])\s(?:{_AT_WORDS})\s(?=[A-Za-z0-9]))", re.I)
+_AT = re.compile(rf"(?P<boxed>\s?{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}\s?)|(?P<plain>(?<=[A-Za-z0-9])\s(?:{_AT_WORDS})\s(?=[A-Za-z0-9]))|(?P<mark>\s{{0,2}}@\s{{0,2}}(?=[A-Za-z0-9]))", re.I)
 _DOT = rf"(?:\s?{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}\s?|\s(?:{_DOT_WORDS})\s)"
 _LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*", re.I)
 _ONE_DOT = re.compile(_DOT, re.I)
@@ -177,7 +177,7 @@ _REACH = 140
 
 def at_and_dot(text: str) -> Rewrite:
     """``name [at] host [dot] tld`` and ``name at host dot tld`` as addresses, ``1[.]2[.]3[.]4`` as
-    numbers. A bare ``at`` counts only before a host with a spelled dot."""
+    numbers. A bare ``at``, or the mark itself, counts only before a host with a spelled dot."""
     edits, done = [], 0
     for m in _AT.finditer(text):
         if m.start() < done or m.start() == 0 or text[m.start() - 1] not in _LOCAL:
@@ -186,7 +186,7 @@ def at_and_dot(text: str) -> Rewrite:
         if not labels:
             continue
         dots = [(labels.start() + d.start(), labels.start() + d.end(), ".") for d in _ONE_DOT.finditer(labels[0])]
-        if not dots and (m["plain"] or "." not in labels[0]):
+        if not dots and (not m["boxed"] or "." not in labels[0]):
             continue
         low = max(done, m.start() - _REACH)
         left = text[low : m.start()]

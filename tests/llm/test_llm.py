@@ -124,6 +124,13 @@ def test_disguised_identifiers_map_back(text, kind, value):
     assert [(s.kind, text[s.start : s.end]) for s in pii.scan(text) if s.disguised] == [(kind, value)]
 
 
+@pytest.mark.parametrize("address", ["jane@example[dot]com", "jane@example (dot) com", "jane@example dot com", "jane @ example dot com", "jane dot roe@example[.]com"])
+def test_spelled_dots_behind_a_plain_mark(address):
+    text = f"mail {address}, or bob@example.org, or call"
+    assert [(s.kind, text[s.start : s.end], s.disguised) for s in pii.scan(text)] == [("email", address, True), ("email", "bob@example.org", False)]
+    assert pii.scan("see you @ noon. Dot by dot, @example or 5 @ 2.50") == []
+
+
 def test_clean_texts_have_no_spans():
     for text in ("we met at noon", "the dot on the map", "one two three", "un deux trois quatre", "m² and 1² at home", "point by point"):
         assert pii.scan(text) == []
