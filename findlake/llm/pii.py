@@ -217,46 +217,63 @@ _DIGITS = (
 _VALUE = {word: str(d) for d, words in enumerate(_DIGITS) for word in words}
 _DIGIT_WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
 _TOKEN = rf"(?:plus|{_DIGIT_WORD}|{_DOT_WORDS}|\+?[0-9]+)"
-_RUN = re.compile(rf"(?<![^\W_])(?:{_TOKEN})(?:[\s.,()-]{{1,3}}{_TOKEN}){{3,}}(?![^\W_])", re.I)
+_RUN = re.compile(rf"(?<![^\W_])(?:{_TOKEN})(?:[\s.,()-]{{1,3}}{_TOKEN})+(?![^\W_])", re.I)
 _PART = re.compile(rf"([\s.,()-]*)({_TOKEN})(?![^\W_])", re.I)
-#: At least so many spelled digits make a run of tokens a number.
+#: A run of so many spelled digits counts as dictated: it is read as one number first.
 SPELLED = 3
 
 
-def spelled_digits(text: str) -> Rewrite:
-    """Runs of spelled digits as one number, ``plus`` as ``+``, a dot word between digits as a dot."""
+def spelled_digits(text: str, least: int = 1, joined: bool = True) -> Rewrite:
+    """Runs of numerals, ``least`` of them spelled, in digits; ``plus`` as ``+``, a dot word between
+    digits as a dot. What stands between the numerals goes if ``joined``, else it stays, but for the
+    white space about the marks."""
     edits = []
     for m in _RUN.finditer(text):
         parts = [(p.start(1), p.start(2), p.end(2), p[2].lower()) for p in _PART.finditer(m[0])]
-        if sum(word in _VALUE for *_, word in parts) < SPELLED:
+        if sum(word in _VALUE for *_, word in parts) < least:
             continue
+        marked = False
         for k, (gap, start, end, word) in enumerate(parts):
-            new = _VALUE.get(word) or ("+" if word == "plus" else "." if not word[-1].isdigit() else word)
-            edits.append((m.start() + (gap if k else start), m.start() + end, new))
+            mark = word not in _VALUE and not word[-1].isdigit()
+            new = _VALUE.get(word) or ("+" if word == "plus" else "." if mark else word)
+            if joined:
+                edits.append((m.start() + (gap if k else start), m.start() + end, new))
+            elif mark or marked or word in _VALUE:
+                near = k and (marked or (mark and word != "plus"))
+                edits.append((m.start() + (gap if near else start), m.start() + end, new))
+            marked = mark
     return Rewrite(text, edits)
 
 
+#: (least, joined) of the readings of spelled digits; a span of an earlier one wins.
+_READINGS = ((SPELLED, True), (1, False), (1, True))
+
+
 _BOXED = re.compile(rf"{_OPEN}(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.){_CLOSE}", re.I)
 _BARE = re.compile(rf"\s(?:{_DOT_WORDS})\s", re.I)
 _RUN_WORDS = frozenset([*_VALUE, "plus", *_DOT_WORDS.split("|")])
 
 
+#: Letters and digits stay, all else that ``_FOREIGN`` leaves stands between words.
+_APART = {c: " " for c in range(0x250) if not chr(c).isalnum()}
+
+
 def _has_run(small: str) -> bool:
-    """Whether some words in a row, numerals among them, hold enough spelled digits."""
-    for mark in "-,.()+":
-        if mark in small:
-            small = small.replace(mark, " ")
-    words = small.split()
-    if sum(map(_VALUE.__contains__, words)) < SPELLED:
+    """Whether some words in a row, numerals among them, hold a spelled digit and the four digits
+    that any number has."""
+    words = small.translate(_APART).split()
+    if _VALUE.keys().isdisjoint(words):
         return False
-    spelled = 0
+    spelled, digits = False, 0
     for word in words:
         if word in _VALUE:
-            spelled += 1
-            if spelled == SPELLED:
-                return True
-        elif word not in _RUN_WORDS and not word.isdigit():
-            spelled = 0
+            spelled, digits = True, digits + 1
+        elif word.isdigit():
+            digits += len(word)
+        elif word not in _RUN_WORDS:
+            spelled, digits = False, 0
+        if spelled and digits >= 4:
+            return True
     return False
 
 
@@ -281,20 +298,28 @@ def scan(text: str) -> list[Span]:
     if not disguised(text):
         return spans
     steps, current = [], text
-    for transducer in (homoglyphs, at_and_dot, spelled_digits):
+
+    def look(steps: list[Rewrite]) -> None:
+        found = detect(steps[-1].text)
+        for kind in KINDS:
+            taken = [s for s in spans if s.kind == kind]
+            for start, end in found[kind]:
+                for done in reversed(steps):
+                    start, end = done.back(start, end)
+                if not any(start < s.end and end > s.start for s in taken) and re.search("[A-Za-z0-9]|[^\x00-\x7f]", text[start:end]):
+                    spans.append(Span(kind, start, end, True))
+                    taken.append(spans[-1])
+
+    for transducer in (homoglyphs, at_and_dot):
         step = transducer(current)
         if step.edits:
             steps.append(step)
             current = step.text
-            found = detect(current)
-            for kind in KINDS:
-                taken = [s for s in spans if s.kind == kind]
-                for start, end in found[kind]:
-                    for done in reversed(steps):
-                        start, end = done.back(start, end)
-                    if not any(start < s.end and end > s.start for s in taken) and re.search("[A-Za-z0-9]|[^\x00-\x7f]", text[start:end]):
-                        spans.append(Span(kind, start, end, True))
-                        taken.append(spans[-1])
+            look(steps)
+    for least, joined in _READINGS:
+        step = spelled_digits(current, least, joined)
+        if step.edits:
+            look([*steps, step])
     return sorted(spans, key=lambda s: (KINDS.index(s.kind), s.start))
 
 

@@ -131,6 +131,29 @@ def test_spelled_dots_behind_a_plain_mark(address):
     assert pii.scan("see you @ noon. Dot by dot, @example or 5 @ 2.50") == []
 
 
+@pytest.mark.parametrize(
+    ("kind", "number"),
+    [
+        ("phone", "+1 415 five five 5 2671"),
+        ("phone", "+1-415-five-55-2671"),
+        ("card", "4111 1111 1111 111 one"),
+        ("card", "411111111111111 one"),
+        ("card", "four 111-1111-1111-1111"),
+        ("ip", "192.168.0.one"),
+        ("ip", "192 dot 168 dot 0 dot one"),
+        ("ip", "10.two.3.4"),
+    ],
+)
+def test_numbers_with_few_spelled_digits(kind, number):
+    for text in (f"see {number} now", f"({number}; ok)", f'"{number}", 20 people'):
+        assert [(s.kind, text[s.start : s.end], s.disguised) for s in pii.scan(text)] == [(kind, number, True)], text
+
+
+def test_prose_with_few_spelled_digits_has_no_spans():
+    for text in ("one of 12 345 678 people", "4111 1111 1111 111 two", "version 1.two.3 of 5", "one 1, two 2, three 3 and 2024", "300.one.2.3"):
+        assert pii.scan(text) == []
+
+
 def test_clean_texts_have_no_spans():
     for text in ("we met at noon", "the dot on the map", "one two three", "un deux trois quatre", "m² and 1² at home", "point by point"):
         assert pii.scan(text) == []
