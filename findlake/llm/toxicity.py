@@ -6,8 +6,8 @@ class-prior-corrected risk ``pi R+(P) + max(0, R-(U) - pi R-(P))``, whose second
 going negative, so that the model doesn't learn to call every unlabelled document clean.
 
 Features are the presence of words and word beginnings, hashed to ``BUCKETS``. Which of them carry
-weight is decided by how much more often the sampled positives have them than all other learning
-documents do, gathered by a distributed sum; the model is then fitted on a sample of at most
+weight is decided by how much more often all confirmed positives have them than all other learning
+documents do, gathered by distributed sums; the model is then fitted on a sample of at most
 ``MOST_POSITIVE`` and ``MOST_UNLABELLED`` documents, chosen by a hash of their ids, on their
 ``FEATURES`` most telling features. Only that sample's
 feature numbers reach the driver, and only the model goes back to the executors.
@@ -117,20 +117,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = sample.unionByName(by_hash(~confirmed, MOST_UNLABELLED).withColumn("positive", F.lit(False)))
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((BUCKETS, 2), np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in source:
-            side = np.array(batch.column(1).to_pylist(), np.int64)
-            for text, bucket in present(batch.column(0).to_pylist()):
-                np.add.at(counts, (bucket, side[text]), 1)
-        some = np.flatnonzero(counts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some, 1]), pa.array(counts[some, 0])], ["bucket", "p", "u"])
-
-    # at most MOST_POSITIVE + MOST_UNLABELLED ids are broadcast, here and below
-    drawn = sample.where("positive").select("doc_id", F.lit(1).alias("side"))
-    sides = rows.join(F.broadcast(drawn), "doc_id", "left").select("text", F.coalesce("side", F.lit(0)).alias("side"))
-    stats = sides.mapInArrow(counted, "bucket bigint, p bigint, u bigint").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    shown = min(toxic, MOST_POSITIVE)
-    rest = total - shown
+            for _, bucket in present(batch.column(0).to_pylist()):
+                counts += np.bincount(bucket, minlength=BUCKETS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+
+    def summed(texts: DataFrame) -> DataFrame:
+        return texts.select("text").mapInArrow(counted, "bucket bigint, n bigint")
+
+    # every confirmed toxic document counts; the others are what is left of all
+    marked = rows.join(marks.where("toxic > 0").select("doc_id").hint("merge"), "doc_id")
+    stats = summed(marked).select("bucket", F.col("n").alias("p"), (-F.col("n")).alias("u"))
+    stats = stats.unionByName(summed(rows).select("bucket", F.lit(0).cast("bigint").alias("p"), F.col("n").alias("u")))
+    stats = stats.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    shown, rest = toxic, total - toxic
     gap = F.col("p") / shown - F.col("u") / rest
     spread = F.sqrt((F.col("p") + 1) / shown / shown + (F.col("u") + 1) / rest / rest)
     telling = stats.select("bucket", (gap / spread).alias("z")).where(F.col("z") >= TELLING).orderBy(F.col("z").desc(), "bucket").limit(FEATURES)
@@ -147,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     held[t].append(a)
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), batch.column(1)], ["held", "positive"])
 
+    # at most MOST_POSITIVE + MOST_UNLABELLED ids are broadcast
     drawn = rows.join(F.broadcast(sample), "doc_id").select("text", "positive").mapInArrow(featured, "held array<int>, positive boolean").collect()
     positive = np.array([r["positive"] for r in drawn], bool)
     if positive.all() or not positive.any():

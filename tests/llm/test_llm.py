@@ -254,6 +254,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert again == got
 
 
+def test_every_confirmed_document_counts_for_the_features(spark, monkeypatch):
+    # a term in few of the confirmed documents, of which the fit sees still fewer
+    texts = [f"{long_text(20, k)} {('rareslur' if k % 60 == 0 else 'vilestuff') if k % 5 == 0 else 'kind'}" for k in range(3000)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(3000) if k % 2 == 0 or k % 5 == 0], "doc_id long, toxic int")
+    docs = documents(spark, texts)
+    every = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "MOST_POSITIVE", 100)
+    few = toxicity.train(docs, labels)
+    assert few.features.tolist() == every.features.tolist()
+    for model in (every, few):
+        assert model.score([f"{long_text(20, 1)} rareslur", f"{long_text(20, 1)} kind"])[0] >= 0.7 > model.score([f"{long_text(20, 1)} kind"])[0]
+
+
 def test_toxicity_without_labels_is_constant(spark):
     docs = documents(spark, ODD)
     nothing = spark.createDataFrame([], "doc_id long, toxic int")
