@@ -44,17 +44,39 @@ def _powers(base: int, n: int) -> np.ndarray:
 _FORTH, _BACK = _powers(_BASE, _BLOCK + 1), _powers(_INVERSE, _BLOCK + 1)
 
 
-def _block_hashes(block: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of a block that begins and ends at a word boundary."""
+def _pieces(buf: np.ndarray, between: np.ndarray) -> Iterator[tuple[int, int]]:
+    """``buf`` in pieces of about a block that begin and end at a word boundary; a word longer than
+    a block makes a longer piece."""
+    spaces = None
+    i = 0
+    while i < len(buf):
+        end = min(i + _BLOCK, len(buf))
+        if end < len(buf):
+            if spaces is None:
+                spaces = np.flatnonzero(between[buf])
+            k = int(np.searchsorted(spaces, end)) - 1
+            if k >= 0 and spaces[k] > i:
+                end = int(spaces[k])
+            else:
+                end = int(spaces[k + 1]) if k + 1 < len(spaces) else len(buf)
+        yield i, end
+        i = end
+
+
+def _spans(block: np.ndarray, between: np.ndarray):
+    """Starts and ends of the words of a piece, and what hashes its byte ranges (starts, ends)."""
     forth, back = _FORTH, _BACK
     if len(block) > _BLOCK:  # one word longer than a block
         forth, back = _powers(_BASE, len(block) + 1), _powers(_INVERSE, len(block) + 1)
     word = ~between[block]
     edges = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     sums = np.zeros(len(block) + 1, U64)
     np.cumsum(_BYTE[block] * forth[: len(block)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64))
+
+    def hashed(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64))
+
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), hashed
 
 
 def words(texts: Iterable[str | None], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -66,23 +88,11 @@ def words(texts: Iterable[str | None], plain: bool = False) -> tuple[np.ndarray,
         return np.zeros(0, U64), np.zeros(0, np.int64)
     buf = np.frombuffer(b"\n".join(parts).lower(), np.uint8)
     firsts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))[:-1]
-    spaces = None
     found, at = [], []
-    i = 0
-    while i < len(buf):
-        end = min(i + _BLOCK, len(buf))
-        if end < len(buf):
-            if spaces is None:
-                spaces = np.flatnonzero(between[buf])
-            k = int(np.searchsorted(spaces, end)) - 1
-            if k >= 0 and spaces[k] > i:
-                end = int(spaces[k])
-            else:
-                end = int(spaces[k + 1]) if k + 1 < len(spaces) else len(buf)
-        starts, hashes = _block_hashes(buf[i:end], between)
+    for i, end in _pieces(buf, between):
+        starts, ends, hashed = _spans(buf[i:end], between)
         at.append(starts + i)
-        found.append(hashes)
-        i = end
+        found.append(hashed(starts, ends))
     if not found:
         return np.zeros(0, U64), np.zeros(len(parts), np.int64)
     at = np.concatenate(at)
@@ -138,18 +148,15 @@ def stems(texts: Iterable[str | None], lengths: tuple[int, ...]) -> tuple[np.nda
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     found, owner = [], []
     for i, body in enumerate(parts):
-        for at in range(0, len(body), _BLOCK):
-            block = np.frombuffer(body[at : at + _BLOCK].lower(), np.uint8)
-            word = ~_SPACE[block]
-            edges = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
-            starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            sums = np.zeros(len(block) + 1, U64)
-            np.cumsum(_BYTE[block] * _FORTH[: len(block)], out=sums[1:])
+        buf = np.frombuffer(body.lower(), np.uint8)
+        for lo, hi in _pieces(buf, _SPACE):
+            starts, ends, hashed = _spans(buf[lo:hi], _SPACE)
             for length in (None, *lengths):
-                a, b = (starts, ends) if length is None else (starts[ends - starts >= length], None)
-                if b is None:
+                a, b = starts, ends
+                if length is not None:
+                    a = starts[ends - starts >= length]
                     b = a + length
-                found.append(mix((sums[b] - sums[a]) * _BACK[a] + (b - a).astype(U64)))
+                found.append(hashed(a, b))
                 owner.append(np.full(len(a), i))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, U64)

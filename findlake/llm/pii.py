@@ -165,19 +165,24 @@ def homoglyphs(text: str) -> Rewrite:
 # fixed values: the words by which people spell the two marks
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase", "dot|punkt|punto|point"
 _OPEN, _CLOSE = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
-_AT = re.compile(rf"(?P<boxed>\s?{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}\s?)|(?P<plain>(?<=[A-Za-z0-9])\s(?:{_AT_WORDS})\s(?=[A-Za-z0-9]))|(?P<mark>\s{{0,2}}@\s{{0,2}}(?=[A-Za-z0-9]))", re.I)
-_DOT = rf"(?:\s?{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}\s?|\s(?:{_DOT_WORDS})\s)"
+_AT = re.compile(rf"(?P<boxed>\s?{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}\s?)|(?P<plain>(?<=[A-Za-z0-9])\s(?:{_AT_WORDS})\s(?=[A-Za-z0-9]))|(?P<mark>\s{{0,2}}@\s{{0,2}}(?=[A-Za-z0-9]))|(?P<tight>(?<=[A-Za-z0-9])(?:_(?:{_AT_WORDS})_|\(a\))(?=[A-Za-z0-9]))", re.I)
+_DOT = rf"(?:\s?{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}\s?|\s(?:{_DOT_WORDS})\s|_(?:{_DOT_WORDS})_)"
+_HOST = re.compile(r"(?:[A-Za-z0-9-]+\.)+[a-z]{2,}")
+# fixed values: words that stand before "at" and a host in prose
+_BEFORE_AT = frozenset("us me them it him her here there found available online located hosted look looked visit site website page pages more information info documentation docs read work works worked".split())
 _LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*", re.I)
 _ONE_DOT = re.compile(_DOT, re.I)
 _LEFT = re.compile(rf"(?:(?:^|(?<=[^A-Za-z0-9._%+-]))[A-Za-z0-9_%+-]{{1,64}}{_DOT})+(?=[A-Za-z0-9._%+-]{{1,64}}$)", re.I)
 _NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_WORD_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 #: A local part has 64 characters at most; what stands further left can't belong to it.
 _REACH = 140
 
 
 def at_and_dot(text: str) -> Rewrite:
     """``name [at] host [dot] tld`` and ``name at host dot tld`` as addresses, ``1[.]2[.]3[.]4`` as
-    numbers. A bare ``at``, or the mark itself, counts only before a host with a spelled dot."""
+    numbers. A bare ``at`` counts before a host name, unless a word of prose stands before it; the
+    mark itself only where a dot is spelled."""
     edits, done = [], 0
     for m in _AT.finditer(text):
         if m.start() < done or m.start() == 0 or text[m.start() - 1] not in _LOCAL:
@@ -186,19 +191,26 @@ def at_and_dot(text: str) -> Rewrite:
         if not labels:
             continue
         dots = [(labels.start() + d.start(), labels.start() + d.end(), ".") for d in _ONE_DOT.finditer(labels[0])]
-        if not dots and (not m["boxed"] or "." not in labels[0]):
+        if not dots and (m["mark"] or "." not in labels[0]):
             continue
+        if not dots and not m["boxed"]:
+            word = _WORD_BEFORE.search(text, max(0, m.start() - 64), m.start())
+            if not _HOST.fullmatch(labels[0].rstrip("-")) or (m["plain"] and word and word[0].lower() in _BEFORE_AT):
+                continue
         low = max(done, m.start() - _REACH)
         left = text[low : m.start()]
         for before in _LEFT.finditer(left):
             edits += [(low + before.start() + d.start(), low + before.start() + d.end(), ".") for d in _ONE_DOT.finditer(before[0])]
         edits += [(m.start(), m.end(), "@"), *dots]
         done = labels.end()
+    ends = [end for _, end, _ in edits]
+    numbers = []
     for m in _NUMBERS.finditer(text):
         dots = [(m.start() + d.start(), m.start() + d.end(), ".") for d in _ONE_DOT.finditer(m[0])]
-        if dots and not any(start < m.end() and end > m.start() for start, end, _ in edits):
-            edits += dots
-    return Rewrite(text, sorted(edits))
+        k = bisect.bisect_right(ends, m.start())  # the first edit that ends behind its start
+        if dots and not (k < len(edits) and edits[k][0] < m.end()):
+            numbers += dots
+    return Rewrite(text, sorted(edits + numbers))
 
 
 # fixed values: digits as words in English, German, French and Spanish
@@ -250,7 +262,8 @@ _READINGS = ((SPELLED, True), (1, False), (1, True))
 
 
 _BOXED = re.compile(rf"{_OPEN}(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.){_CLOSE}", re.I)
-_BARE = re.compile(rf"\s(?:{_DOT_WORDS})\s", re.I)
+_BARE = re.compile(rf"[\s_](?:{_DOT_WORDS})[\s_]", re.I)
+_BARE_AT = re.compile(rf"\s(?:{_AT_WORDS})\s[A-Za-z0-9-]+\.[A-Za-z0-9]|[A-Za-z0-9](?:_(?:{_AT_WORDS})_|\(a\))[A-Za-z0-9]", re.I)
 _RUN_WORDS = frozenset([*_VALUE, "plus", *_DOT_WORDS.split("|")])
 
 
@@ -282,7 +295,7 @@ def disguised(text: str) -> bool:
     what a detector then finds."""
     if not text.isascii() and _FOREIGN.search(text):
         return True
-    if _BOXED.search(text):
+    if _BOXED.search(text) or _BARE_AT.search(text):
         return True
     small = text.lower()
     if any(word in small for word in _DOT_WORDS.split("|")) and _BARE.search(text):
@@ -294,21 +307,26 @@ def scan(text: str) -> list[Span]:
     """Every span by kind and start: the plain ones, and disguised ones that meet no plain one of
     their kind. Offsets count code points, ends are exclusive."""
     base = detect(text)
-    spans = [Span(kind, *at, False) for kind in KINDS for at in base[kind]]
+    spans = {kind: [Span(kind, *at, False) for at in base[kind]] for kind in KINDS}
     if not disguised(text):
-        return spans
+        return [s for kind in KINDS for s in spans[kind]]
     steps, current = [], text
 
     def look(steps: list[Rewrite]) -> None:
         found = detect(steps[-1].text)
         for kind in KINDS:
-            taken = [s for s in spans if s.kind == kind]
+            taken, new = spans[kind], []
+            ends, done = [s.end for s in taken], 0  # both in order, as spans of a kind don't meet
             for start, end in found[kind]:
-                for done in reversed(steps):
-                    start, end = done.back(start, end)
-                if not any(start < s.end and end > s.start for s in taken) and re.search("[A-Za-z0-9]|[^\x00-\x7f]", text[start:end]):
-                    spans.append(Span(kind, start, end, True))
-                    taken.append(spans[-1])
+                for step in reversed(steps):
+                    start, end = step.back(start, end)
+                k = bisect.bisect_right(ends, start)
+                free = start >= done and not (k < len(taken) and taken[k].start < end)
+                if free and re.search("[A-Za-z0-9]|[^\x00-\x7f]", text[start:end]):
+                    new.append(Span(kind, start, end, True))
+                    done = end
+            if new:
+                spans[kind] = sorted(taken + new, key=lambda s: s.start)
 
     for transducer in (homoglyphs, at_and_dot):
         step = transducer(current)
@@ -320,7 +338,7 @@ def scan(text: str) -> list[Span]:
         step = spelled_digits(current, least, joined)
         if step.edits:
             look([*steps, step])
-    return sorted(spans, key=lambda s: (KINDS.index(s.kind), s.start))
+    return [s for kind in KINDS for s in spans[kind]]
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
