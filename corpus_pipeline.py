@@ -1,13 +1,14 @@
 """From raw documents to token ids: reject, deduplicate, decontaminate, encode.
 
 Every stage reads what its predecessor wrote; all but the last return the columns of ``documents``.
-Ids are expected to be unique: a repeated row is kept or dropped with its twin.
+The stages that drop copies judge rows, not ids: a row is known by its file and its place there, so
+rows that share an id, or have none, stay or go each for its own text.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findlake import configure
@@ -19,10 +20,21 @@ from findlake.llm.scratch import drop, written
 ORACLE_SQL = None
 
 
+def _place() -> Column:
+    """A row's place in the table, the same however the files are split: docs must be read from files."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where the id is the row's own: ordered by the document's id (null last), then by place."""
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), _place().alias("place")).alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone``; joined the same way at every size."""
-    gone = gone.select("doc_id").hint("merge")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """``docs`` without the rows in ``gone``, by their ids from ``_rows``; joined the same way at every size."""
+    place = max(docs.columns, key=len) + "_place"  # longer than any column, so that none has the name
+    gone = gone.select(F.col("doc_id.place").alias(place))
+    return docs.select("*", _place().alias(place)).join(gone.hint("merge"), place, "left_anti").select(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +43,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    return _without(docs, exact_dedup.exact_dedup(_rows(docs)).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard.near_duplicates(docs).where("not (doc_id <=> component_id)"))
+    return _without(docs, jaccard.near_duplicates(_rows(docs)).where("not (doc_id <=> component_id)"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
