@@ -7,8 +7,8 @@ going negative, so that the model doesn't learn to call every unlabelled documen
 
 Features are the presence of words and word beginnings, hashed to ``BUCKETS``. Which of them carry
 weight is decided by how much more often all confirmed positives have them than all other learning
-documents do, gathered by distributed sums; the model is then fitted on a sample of at most
-``MOST_POSITIVE`` and ``MOST_UNLABELLED`` documents, chosen by a hash of their ids, on their
+documents do, gathered by distributed sums; the model is then fitted on a bounded sample of
+documents (arguments of ``train``), chosen by a hash of their ids, on their
 ``FEATURES`` most telling features. Only that sample's
 feature numbers reach the driver, and only the model goes back to the executors.
 """
@@ -93,9 +93,16 @@ def learning_part(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 != 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED
+) -> Model:
     """The model of ``docs`` (id, text) and ``labels`` (doc_id, toxic). Held-out rows take no part.
-    Without a confirmed toxic or without another document the model is a constant."""
+    Without a confirmed toxic or without another document the model is a constant.
+
+    The fit is on at most ``most_positive`` and ``most_unlabelled`` documents; of rows that share an id
+    one takes part. The class prior is the share of toxic ones among the labelled, applied to those
+    without a label, and is kept from 0.01 to 0.5, where the risk is defined and steps stay finite.
+    """
     spark = prepare(docs.sparkSession)
     marks = labels.where(learning_part(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).where(learning_part(F.col("doc_id")))
@@ -113,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return chosen.orderBy("place", "doc_id").limit(most).select("doc_id")
 
     confirmed = F.coalesce(F.col("toxic") > 0, F.lit(False))
-    sample = by_hash(confirmed, MOST_POSITIVE).withColumn("positive", F.lit(True))
-    sample = sample.unionByName(by_hash(~confirmed, MOST_UNLABELLED).withColumn("positive", F.lit(False)))
+    sample = by_hash(confirmed, most_positive).withColumn("positive", F.lit(True))
+    sample = sample.unionByName(by_hash(~confirmed, most_unlabelled).withColumn("positive", F.lit(False)))
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -147,10 +154,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for text, at in present(texts, features):
                 for t, a in zip(text.tolist(), at.tolist(), strict=True):
                     held[t].append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), batch.column(1)], ["held", "positive"])
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), *batch.columns[1:]], ["held", "positive", "doc_id"])
 
-    # at most MOST_POSITIVE + MOST_UNLABELLED ids are broadcast
-    drawn = rows.join(F.broadcast(sample), "doc_id").select("text", "positive").mapInArrow(featured, "held array<int>, positive boolean").collect()
+    # at most most_positive + most_unlabelled ids are broadcast, and as many rows come back: an id may be repeated
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    drawn = rows.join(F.broadcast(sample), "doc_id").select("text", "positive", "doc_id").mapInArrow(featured, f"held array<int>, positive boolean, doc_id {kind}")
+    drawn = drawn.groupBy("doc_id", "positive").agg(F.min("held").alias("held")).orderBy("doc_id").collect()
     positive = np.array([r["positive"] for r in drawn], bool)
     if positive.all() or not positive.any():
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
