@@ -1,6 +1,8 @@
 """Diffs, analyzer reports, stores, files and report sinks."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,66 @@ def test_plain_diff_without_git_headers(spark, rows):
     assert rows(diff.touched_lines(out, ["id"]), "file", "line") == [("a.c", 1), ("b.c", 1)]
 
 
+def plainly(lines):
+    """A diff read line by line: added (file, line, text), removed (file, before), lines added of each file."""
+    shape = re.compile(r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+    added, removed, counts = [], [], {}
+    number, header, olds, news, line = 0, False, 0, 0, 0
+    for raw in lines:
+        text, mark = raw.removesuffix("\r"), raw[:1]
+        if olds > 0 or news > 0:
+            if mark == "+":
+                added.append((number, line, text[1:]))
+                counts[number] += 1
+            if mark == "-":
+                removed.append((number, max(line, 1)))
+            olds -= mark not in ("+", "\\")
+            news -= mark not in ("-", "\\")
+            line += mark not in ("-", "\\")
+            continue
+        head = shape.match(text)
+        if head:
+            number = number or 1
+            counts.setdefault(number, 0)
+            olds, line, news = int(head[1] or 1), int(head[2]), int(head[3] or 1)
+            header = False
+        elif text.startswith("@@@"):
+            header = False
+        elif text.startswith("diff --git ") or text.startswith("--- "):
+            number += text.startswith("diff") or not header
+            header = True
+            counts.setdefault(number, 0)
+    return sorted(added), sorted(removed), counts
+
+
+def test_a_diff_cut_anywhere_reads_as_line_by_line(spark, rows):
+    """Chunks of three positions and blocks of two hunks; counts that overstate, understate or never end."""
+    chance = random.Random(5)
+    pieces = ["diff --git a/x b/x", "--- a/x", "+++ b/x", "@@ -1,2 +1,3 @@", "@@ -4 +9 @@", "@@ -0,0 +1,4 @@", "@@ -7,3 +7,0 @@", "@@@ -1 -1 +1 @@@"]
+    pieces += ["+new", "-old", " same", "\\ No newline", "+crlf\r", "", "+@@ -1 +1 @@", "@@ -1,90 +1,90 @@"]
+    bodies = {f"d{k}": [chance.choice(pieces[: 15 + (k % 9 == 0)]) for _ in range(chance.randint(1, 60))] for k in range(60)}
+    bodies["hot"] = ["--- a/h", "+++ b/h"] + ["@@ -1,2 +1,2 @@", "-a", "+b", " c"] * 300 + ["@@ -1,2 +1,2 @@"] * 50
+    table = spark.createDataFrame([(k, 7 * i, raw) for k, body in bodies.items() for i, raw in enumerate(body)], "id string, pos bigint, raw string")
+    out = diff.parse_lines(table, ["id"], width=21, block=2)
+    expected = {k: plainly(body) for k, body in bodies.items()}
+    assert rows(out.added, "id", "file_no", "line", "text") == sorted(((k, *a) for k, e in expected.items() for a in e[0]), key=repr)
+    assert rows(out.removed, "id", "file_no", "before") == sorted(((k, *a) for k, e in expected.items() for a in e[1]), key=repr)
+    whole = diff.parse_lines(table, ["id"])
+    assert rows(out.files, *out.files.columns) == rows(whole.files, *whole.files.columns)
+
+
+def test_one_diff_is_read_by_many_tasks(spark):
+    table = spark.range(20000).selectExpr("'d' AS id", "id AS pos", "CASE WHEN id = 0 THEN '@@ -0,0 +1,19999 @@' ELSE '+x' END AS raw")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        added = diff.parse_lines(table, ["id"], width=100).added
+        tasks = added.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in tasks) == 19999
+    assert max(r["count"] for r in tasks) < 19999 / 2
+
+
 def reports_of(spark, items):
     return spark.createDataFrame([("r", t, "/repo", c) for t, c in items], "repo string, tool string, root string, content string")
 
