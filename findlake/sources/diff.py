@@ -75,7 +75,9 @@ def git_header_path(rest: Column) -> Column:
 
 
 def _before(keys: list[str]):
-    """Over chunk summaries: the chunks of a diff ahead of this one."""
+    """Over chunk summaries: the chunks of a diff ahead of this one. Entry states meet their lines in
+    merge joins, which keep the lines by chunk; a broadcast of few lines would put them where the
+    summaries of the diff are."""
     return Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
@@ -93,7 +95,7 @@ def _counted(lines: DataFrame, keys: list[str], width: int) -> DataFrame:
     sums = rows.groupBy(*at).agg(*[F.sum(flag).alias(name) for name, flag in flags.items()])
     carry = sums.select(*at, *[F.coalesce(F.sum(name).over(_before(keys)), F.lit(0)).alias(f"{name}_in") for name in flags])
     local = rows.select(*at, "pos", "raw", *[F.sum(flag).over(upto).alias(name) for name, flag in flags.items()])
-    out = local.join(carry, at).select(*at, "pos", "raw", *[(F.col(name) + F.col(f"{name}_in")).alias(name) for name in flags])
+    out = local.join(carry.hint("merge"), at).select(*at, "pos", "raw", *[(F.col(name) + F.col(f"{name}_in")).alias(name) for name in flags])
     return materialize(out, "diff-lines")
 
 
@@ -183,7 +185,7 @@ def _in_hunks(lines: DataFrame, heads: DataFrame, keys: list[str], width: int) -
     chunks = lines.select(*at).distinct().join(latest, at, "left")
     carry = chunks.select(*at, F.last("latest", ignorenulls=True).over(_before(keys)).alias("open_in"))
     placed = lines.join(marked, [*at, "pos"], "left").withColumn("local", F.last("opens", ignorenulls=True).over(upto))
-    placed = placed.join(carry, at).withColumn("hunk", F.coalesce("local", "open_in"))
+    placed = placed.join(carry.hint("merge"), at).withColumn("hunk", F.coalesce("local", "open_in"))
     inside = (F.col("pos") > F.col("hunk.head")) & (F.col("pos") <= F.col("hunk.last"))
     return placed.select(
         *at,
@@ -223,7 +225,7 @@ def _in_files(placed: DataFrame, keys: list[str]) -> DataFrame:
     more = F.col("opened") + (F.col("maybe") & ~F.col("state_in")).cast("int")
     headless = F.when(F.col("head") < F.coalesce("named", F.lit(_END)), F.col("head"))
     carry = carry.select(*at, "state_in", F.coalesce(F.sum(more).over(_before(keys)), F.lit(0)).alias("opened_in"), headless.alias("headless"))
-    rows = rows.join(carry, at).withColumn("in_header", F.coalesce("state", "state_in"))
+    rows = rows.join(carry.hint("merge"), at).withColumn("in_header", F.coalesce("state", "state_in"))
     opens = F.col("git") | (F.col("minus") & ~F.col("in_header"))
     unnamed = F.coalesce(F.col("pos") >= F.col("headless"), F.lit(False)).cast("int")
     return rows.withColumn("file_no", F.col("opened_in") + F.sum(opens.cast("int")).over(upto) + unnamed).where("file_no > 0")
