@@ -11,7 +11,9 @@ without the parts that can't matter:
    hold a shared one of any partner. Blocks of these columns give the candidate pairs.
 4. A candidate's overlap is counted over both documents' shingles and held against both sizes.
 
-Large groups of near copies are not multiplied out. In each column the most central document is the
+Large groups of copies are not multiplied out. Documents with the same size and the same shared
+shingles have the same links to all others, so one of them stands for the rest, which follow it:
+at once if they link among themselves, else if it links with anything. Of near copies, in each column the most central document is the
 hub; a document is first compared with its best hub only, and the components of the links found so
 are contracted. Only pairs of a column that lie in different components are compared after that, so
 no link between components is lost and the work within one stays linear.
@@ -120,6 +122,33 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return by_base.mapInArrow(documents, f"row bigint, doc_id {kind}, n_shingles bigint, shared array<bigint>")
 
 
+# --- copies ----------------------------------------------------------------------------------
+
+
+def _copies(live: DataFrame) -> DataFrame:
+    """``row, rep, mutual``: of documents with equal size and shared shingles all but the first, which
+    is ``rep``; ``mutual``: whether these link with each other. Arrays are held to be equal when two
+    64-bit hashes, forth and back, are: a finer measure than the shingles' own."""
+    key = ["n_shingles", "held", "forth", "back"]
+    keyed = live.select("row", "n_shingles", F.size("shared").alias("held"), F.xxhash64("shared").alias("forth"), F.xxhash64(F.reverse("shared")).alias("back"))
+    classes = written(keyed.groupBy(*key).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "classes")
+    mutual = F.col("held") * (DENOMINATOR + NUMERATOR) >= 2 * NUMERATOR * F.col("n_shingles")
+    copies = written(keyed.join(classes.hint("merge"), key).where("row <> rep").select("row", "rep", mutual.alias("mutual")), "copies")
+    drop(classes)
+    return copies
+
+
+def _with_copies(roots: DataFrame, copies: DataFrame) -> DataFrame:
+    """``node, root`` with the copies of the documents that have a root or link with their copies."""
+    known = roots.select(F.col("node").alias("rep"), "root")
+    led = copies.select("rep", "mutual").distinct().join(known.hint("merge"), "rep", "left")
+    leaders = written(led.select("rep", F.coalesce("root", F.when(F.col("mutual"), F.col("rep"))).alias("root"), F.col("root").isNull().alias("new")).where("root is not null"), "leaders")
+    followers = copies.join(leaders.hint("merge"), "rep").select(F.col("row").alias("node"), "root")
+    out = written(roots.unionByName(leaders.where("new").select(F.col("rep").alias("node"), "root")).unionByName(followers), "roots")
+    drop(leaders)
+    return out
+
+
 # --- candidates ------------------------------------------------------------------------------
 
 
@@ -182,6 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sets = written(shared_shingles(docs, id_col, text_col), "shingles")
     live = sets.where("shared is not null")
+    copies = _copies(live)
+    live = written(live.join(copies.select("row").hint("merge"), "row", "left_anti"), "live")
     postings = written(_prefix(live), "prefix")
     done, links = None, None
     for _ in range(hub_rounds):
@@ -197,8 +228,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.root") != F.col("b.root")) & _fits("a.n", "b.n") & near)
     pairs = written(met.select(F.col("a.row").alias("u"), F.col("b.row").alias("v")).distinct().join(done, ["u", "v"], "left_anti"), "pairs")
     links = links.unionByName(written(_links(pairs, live), "links"))
-    roots = written(components(links), "roots")
-    drop(postings, mixed, open_)
+    linked = written(components(links), "linked")
+    drop(postings, mixed, open_, live)
+    roots = _with_copies(linked, copies)
+    drop(linked, copies)
     named = roots.join(sets.select(F.col("row").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     grouped = roots.join(written(named, "named").hint("merge"), "root").select(F.col("node").alias("row"), "component_id")
     return sets.select("row", "doc_id", "n_shingles").join(grouped, "row", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
