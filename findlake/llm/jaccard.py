@@ -16,7 +16,9 @@ shingles have the same links to all others, so one of them stands for the rest,
 at once if they link among themselves, else if it links with anything. Of near copies, in each column the most central document is the
 hub; a document is first compared with its best hub only, and the components of the links found so
 are contracted. Only pairs of a column that lie in different components are compared after that, so
-no link between components is lost and the work within one stays linear.
+no link between components is lost. A group of near copies stays linear if its documents' best hubs
+are of the group; if texts of other groups are more central in all its columns, its differing texts
+are still paired, each with each, where a column of their prefixes and the sizes allow it.
 
 A document is known by the number of its row. ``docs`` must be read from a table, whose rows keep
 their order when a task is run again.
