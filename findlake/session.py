@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime SQL settings every job here expects. All of them are Spark defaults or make AQE
-# split hot join keys even when the split costs one more shuffle.
+# Runtime SQL settings every job here expects. AQE splits hot join keys even when the split costs
+# one more shuffle. Sizes estimated from files miss what paths, keys and exploded arrays add, so no
+# estimate may make the driver collect a table: joins broadcast only what a shuffle has measured.
 SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.session.timeZone": "UTC",
 }
 

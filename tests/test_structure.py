@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions import semver
 from findlake.operators import graph, impact, layers, modules, ownership, policy, resolve, surface
+from findlake.plans import all_queries
 
 
 def table(spark, schema, items):
@@ -143,6 +144,15 @@ def closure(edges):
         reach = grown
 
 
+@pytest.mark.parametrize("name", ["alias_imports", "module_ownership", "owners_last_match", "dotted_imports"])
+def test_no_join_broadcasts_by_a_guessed_size(spark, tmp_path, name):
+    parts = [(k, f"{('red', 'blue', 'small')[k % 3]} {('gear', 'bolt')[k % 2]}", k % 50) for k in range(60)]
+    table(spark, "p_partkey long, p_name string, p_size int", parts).write.parquet(f"{tmp_path}/part.parquet")
+    found = all_queries()[name](spark, str(tmp_path))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == (3 if name == "module_ownership" else len(parts))
+
+
 def test_components_and_cycles_against_brute_force(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("g", "a"), ("h", "h"), ("f", "i"), ("b", "a"), ("x", "y"), ("y", "z"), ("z", "w"), ("w", "x"), ("x", "z")]
     df = table(spark, "repo string, src string, dst string", [("r", a, b) for a, b in edges])
