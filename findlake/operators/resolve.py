@@ -68,14 +68,17 @@ def _lookup_head(head: Column, mark: str) -> Column:
     return F.regexp_extract(head, f"(?s)^(.*\\Q{mark}\\E)", 1)
 
 
-def _from_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """``repo, root_ord, rel, path``: each path as a name seen from each root that can reach it, also
-    upwards with ``..``. Roots meet paths by their own directories, never by repository alone."""
+def _from_roots(paths: DataFrame, roots: DataFrame, upwards: bool = True) -> DataFrame:
+    """``repo, root_ord, rel, path``: each path as a name seen from each root that can reach it, with
+    ``upwards`` also by ``..``. Roots meet paths by their own directories, never by repository alone;
+    of the roots that give a path the same name, the first stands for all."""
     clean = normalize(F.col("root"))
     parts = F.split(clean, "/")
     depth = F.when(clean == "", 0).otherwise(F.size(parts))
-    steps = roots.select("repo", "root_ord", parts.alias("parts"), depth.alias("depth"), F.explode(F.sequence(F.lit(0), depth)).alias("up"))
+    ups = F.sequence(F.lit(0), depth) if upwards else F.array(F.lit(0))
+    steps = roots.select("repo", "root_ord", parts.alias("parts"), depth.alias("depth"), F.explode(ups).alias("up"))
     steps = steps.select("repo", "root_ord", F.array_join(F.slice("parts", F.lit(1), F.col("depth") - F.col("up")), "/").alias("head"), F.repeat(F.lit("../"), F.col("up")).alias("climb"))
+    steps = steps.groupBy("repo", "head", "climb", F.isnull("root_ord").alias("unordered")).agg(F.min("root_ord").alias("root_ord")).drop("unordered")
     placed = paths.select("repo", "path").distinct().select("repo", "path", F.explode(F.concat(F.array(F.lit("")), ancestors(dirname(F.col("path"))))).alias("head")).distinct()
     below = F.when(F.col("head") == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length("head") + 2, F.length("path")))
     return placed.join(steps, ["repo", "head"]).select("repo", "root_ord", F.concat("climb", below).alias("rel"), "path")
@@ -225,11 +228,11 @@ def dotted_path(
     near_hits = first_existing(near, files, keys)
 
     far = imports.select("repo", "specifier").distinct().withColumn("names", names).where("NOT startswith(specifier, '.') AND size(names) > 0")
-    far_hits = _longest_under_roots(far, _from_roots(files, roots), extensions, package_init)
+    far_hits = _longest_under_roots(far, _from_roots(files, roots, upwards=False), extensions, package_init)
     width = F.least(F.greatest(F.size("names") - 1, F.lit(1)), F.lit(3))
     own = far.where("size(names) > 1").select("repo", "specifier", F.array_join(F.slice("names", F.lit(1), width), "/").alias("rel"))
     directories = files.select("repo", F.explode(ancestors(dirname(F.col("path")))).alias("path")).distinct()
-    owned = own.join(_from_roots(directories, roots), ["repo", "rel"], "left_semi").select("repo", "specifier", F.lit(True).alias("own")).distinct()
+    owned = own.join(_from_roots(directories, roots, upwards=False), ["repo", "rel"], "left_semi").select("repo", "specifier", F.lit(True).alias("own")).distinct()
     joined = (
         imports.join(near_hits.withColumnRenamed("target", "near"), keys, "left")
         .join(far_hits.withColumnRenamed("target", "far"), ["repo", "specifier"], "left")
@@ -330,7 +333,7 @@ def snake(name: Column) -> Column:
 def snake_path(imports: DataFrame, roots: DataFrame, files: DataFrame, extensions: Sequence[str] = ("ex", "exs")) -> DataFrame:
     """Elixir: ``MyApp.Foo`` is ``my_app/foo.ex`` under a root; a miss is external."""
     asked = imports.select("repo", "specifier").distinct().withColumn("names", F.transform(F.split("specifier", r"\."), snake))
-    hits = _longest_under_roots(asked, _from_roots(files, roots), extensions, False)
+    hits = _longest_under_roots(asked, _from_roots(files, roots, upwards=False), extensions, False)
     return _outcome(imports.join(hits, ["repo", "specifier"], "left"), F.lit("external")).select(*imports.columns, "outcome", "target")
 
 

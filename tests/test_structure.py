@@ -98,6 +98,17 @@ def test_ecosystem_imports(spark):
     }
 
 
+def test_one_root_stands_for_those_that_see_a_path_alike(spark):
+    files = files_of(spark, *(f"lib/a{k}.ex" for k in range(50)), "top.rb")
+    roots = table(spark, "repo string, root string, root_ord int", [("r", "lib", 0), *(("r", f"none{k}/deep", k) for k in range(1, 40)), ("r", "odd/deep", None)])
+    seen = resolve._from_roots(files, roots).select("root_ord", "rel", "path").collect()
+    assert len(seen) == len(set(seen)) == 51 + 50 + 51 * 2  # upwards from lib, below it, and from two directories down with and without an order
+    assert {(r.root_ord, r.rel) for r in seen if r.path == "top.rb"} == {(0, "../top.rb"), (1, "../../top.rb"), (None, "../../top.rb")}
+    assert resolve._from_roots(files, roots, upwards=False).count() == 50
+    wanted = table(spark, "repo string, file string, specifier string", [("r", "x/y.rb", "../../top")])
+    assert resolve.require_path(wanted, roots, files).collect()[0]["target"] == "top.rb"
+
+
 def test_edges_from_imports_and_manifests(spark, rows):
     mods = table(spark, "repo string, module string, name string, manifest string", [("r", "a", "@m/a", "npm"), ("r", "b", "b_core", "cargo"), ("r", ".", None, "none")])
     deps = table(spark, "repo string, module string, ecosystem string, name string, path string, manifest_file string", [
