@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions.fixed import KNOWN_TOKEN_MARKS, KNOWN_TOKEN_PATTERNS, SCRIPT_FAMILY
 from findlake.functions.identity import content_anchor
-from findlake.functions.paths import basename, extension, is_test_path
+from findlake.functions.paths import extension, is_test_path
 from findlake.functions.secrets import named_literals
 from findlake.functions.text import after, ascii_words, excerpt, first_sentence, holds_known_token
 from findlake.operators.ordered import first_per_key
@@ -348,8 +348,5 @@ def language_of(path: Column) -> Column:
         "astro": ("astro",), "dart": ("dart",), "rust": ("rs",), "go": ("go",), "python": ("py", "pyi"), "kotlin": ("kt", "kts"), "php": ("php",),
         "csharp": ("cs",), "java": ("java",), "ruby": ("rb",), "elixir": ("ex", "exs"), "swift": ("swift",), "cpp": ("cpp", "cc", "cxx", "hpp", "hh", "hxx"), "gdscript": ("gd",),
     }
-    ends = extension(path)
-    chain = F.lit(None).cast("string")
-    for language, extensions in table.items():
-        chain = F.when(ends.isin(*extensions), language).otherwise(chain)
-    return F.when(basename(path) == "", None).otherwise(chain)
+    named = F.create_map(*[F.lit(x) for language, extensions in table.items() for e in extensions for x in (e, language)])
+    return F.try_element_at(named, extension(path))

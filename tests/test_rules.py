@@ -324,3 +324,10 @@ def test_export_targets_to_any_depth(spark):
     deep = '{"exports":{".":' + '{"node":' * 6 + '["./a.js",{"import":"./b.js"}]' + "}" * 6 + "}}"
     got = surface.manifest_targets(table(spark, "repo string, module string, content string", [("r", "m", deep)])).orderBy("rank").collect()
     assert [r["target"] for r in got] == ["./a.js", "./b.js"]
+
+
+def test_language_is_looked_up_once_per_path(spark):
+    wanted = {"a/b.TS": "typescript", "x.d.mts": "typescript", ".ts": "typescript", "a.ts/": None, "a.ts/b": None, "a.": None, "": None, "b.hxx": "cpp", "c.gd": "gdscript", "q.exs": "elixir", "v.vue": "vue", "n.none": None, None: None}
+    found = spark.createDataFrame([(p,) for p in wanted], "path string").select("path", rules.language_of(F.col("path")).alias("language"))
+    assert {r.path: r.language for r in found.collect()} == wanted
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
