@@ -7,8 +7,10 @@ piece when none is left. A bit for every position that led nowhere keeps it from
 so the work is linear in the text. The neighbour check merges the two pieces' characters again by
 score; its answers are kept.
 
-No piece holds the space mark behind another character, so words are encoded apart and kept by
-word; a character outside the vocabulary becomes its UTF-8 bytes' pieces.
+No merge crosses two neighbours that no piece holds side by side. So words are cut where the space
+mark stands behind another character, and where a character of the largest group that pieces hold
+together (letters, as a rule) meets one outside of it; what is cut is encoded apart and kept. A
+character outside the vocabulary becomes its UTF-8 bytes' pieces.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import ahocorasick
 import pyarrow as pa
@@ -54,8 +57,15 @@ class Encoder:
         self.longest.make_automaton()
         reached = set(reached)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in reached), None) for p in reached}
+        if not letters <= self.ids.keys():
+            raise ValueError("only models whose characters are all pieces are read")
+        self.width = max(map(len, reached))
+        known = "".join(map(re.escape, sorted(letters)))
+        self.stretches = re.compile(f"([{known}]+)|([^{known}]+)").findall
         line = "" if "\n" in letters else "\n"
-        self.words = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}" if line else "")).findall
+        group = "".join(map(re.escape, sorted(_largest_group(self.ids))))
+        own = f"{MARK}*[{group}]+|" if group else ""
+        self.words = re.compile(f"{own}{MARK}*[^{MARK}{line}{group}]+|{MARK}+" + (f"|{line}" if line else "")).findall
         self.pairs: dict[tuple[str, str], bool] = {}
         self.kept = _Kept(self)
 
@@ -82,44 +92,61 @@ class Encoder:
             found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
 
-    def run(self, text: str, ends: list[int]) -> list[str]:
-        """Pieces of a text of known characters; ``ends``: where the longest piece at each ends."""
-        n = len(text)
-        open_ = bytearray(b"\x01") * (n + 1)
+    def at(self, text: str, start: int) -> str:
+        """The longest piece that ``text`` of known characters has from ``start``."""
+        piece = text[start : start + self.longest.longest_prefix(text[start : start + self.width])]
+        while piece not in self.shorter:
+            piece = piece[:-1]
+        return piece
+
+    def run(self, text: str) -> list[str]:
+        """Pieces of a text of known characters: the longest from left to right while all of them fit, then by stepping back."""
+        n, at, last = len(text), 0, None
+        shorter, pairs, fits = self.shorter, self.pairs, self.fits
         out: list[str] = []
-        at, piece = 0, text[: ends[0]]
+        for end, length in self.longest.iter_long(text):
+            piece = text[at : end + 1]
+            if length != end + 1 - at:
+                break
+            if last is not None:
+                good = pairs.get((last, piece))
+                if not (fits(last, piece) if good is None else good):
+                    break
+            out.append(piece)
+            at, last = end + 1, piece
+        if at == n:
+            return out
+        open_ = bytearray(b"\x01") * (n + 1)
+        piece = self.at(text, at)
         while at < n:
-            last = out[-1] if out else None
-            while piece is not None and not (open_[at + len(piece)] and (last is None or self.fits(last, piece))):
-                piece = self.shorter[piece]
+            while piece is not None:
+                if open_[at + len(piece)]:
+                    if last is None:
+                        break
+                    good = pairs.get((last, piece))
+                    if fits(last, piece) if good is None else good:
+                        break
+                piece = shorter[piece]
             if piece is not None:
                 out.append(piece)
                 at += len(piece)
-                piece = text[at : ends[at]] if at < n else None
+                last, piece = piece, self.at(text, at) if at < n else None
             else:  # nothing leads on from here
                 open_[at] = 0
                 piece = out.pop()
                 at -= len(piece)
+                last = out[-1] if out else None
+                piece = shorter[piece]
         return out
 
     def word(self, text: str) -> bytes:
         """Ids of a word as little-endian 32-bit integers."""
-        n = len(text)
-        ends = [0] * n
-        for last, length in self.longest.iter(text):
-            ends[last - length + 1] = last + 1
-        out, i, ids = array("I"), 0, self.ids
-        while i < n:
-            if ends[i]:
-                j = i
-                while j < n and ends[j]:
-                    j += 1
-                whole = i == 0 and j == n
-                out.extend(ids[p] for p in self.run(text if whole else text[i:j], ends if whole else [min(e, j) - i for e in ends[i:j]]))
-                i = j
+        ids, out = self.ids, array("I")
+        for known, stretch in self.stretches(text):
+            if known:
+                out.extend([ids[p] for p in self.run(known)])
             else:
-                out.extend(self.byte[b] for b in text[i].encode("utf-8", "surrogatepass"))
-                i += 1
+                out.extend(self.byte[b] for b in stretch.encode("utf-8", "surrogatepass"))
         return _little(out)
 
     def encode(self, text: str) -> bytes:
@@ -135,21 +162,39 @@ class Encoder:
         return self.library.decode(values.tolist())
 
 
+def _largest_group(pieces: Iterable[str]) -> set[str]:
+    """Of the groups of characters that pieces hold next to each other, directly or through others, the largest."""
+    group: dict[str, set[str]] = {}
+    for piece in pieces:
+        for a, b in pairwise(piece.lstrip(MARK)):
+            one, other = group.setdefault(a, {a}), group.setdefault(b, {b})
+            if one is not other:
+                if len(one) < len(other):
+                    one, other = other, one
+                one |= other
+                group.update(dict.fromkeys(other, one))
+    return max(group.values(), key=lambda g: (len(g), min(g)), default=set())
+
+
 def _little(values: array) -> bytes:
     return b"".join(v.to_bytes(4, "little") for v in values) if values.itemsize != 4 else values.tobytes()
 
 
 class _Kept(dict):
-    """Encoded words, forgotten together when there are too many."""
+    """Encoded words. When there are too many, those not asked for since the last time are forgotten."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.encoder.word(word)
+        found = self.before.get(word)
+        if found is None:
+            found = self.encoder.word(word)
         if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= KEPT_WORDS // 2:
+                self.before = dict(self)
                 self.clear()
             self[word] = found
         return found

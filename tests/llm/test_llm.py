@@ -574,6 +574,17 @@ def test_encoding_matches_the_library():
         assert own.decode(ids) == own.library.decode(own.library.encode(text))
 
 
+def test_words_are_kept_apart_from_their_marks(monkeypatch):
+    own = sentencepiece_bpe.Encoder(MODEL)
+    texts = [f"house{a}{b} (house{b}" for a in ".,;:!?)" for b in "\"'1-=/"]
+    check = lambda: all(np.frombuffer(own.encode(t), "<u4").tolist() == own.library.encode(t, add_bos=True, add_eos=True) for t in texts)
+    assert check() and {w for w in own.kept if "house" in w} == {"house", "▁house"}
+    monkeypatch.setattr(sentencepiece_bpe, "KEPT_WORDS", 8)
+    for k in range(50):
+        own.encode(f"house k{k}x")
+    assert len(own.kept) <= 4 and len(own.kept.before) <= 4 and check()
+
+
 def test_encoding_of_odd_rows(spark):
     lib = sentencepiece_bpe.encoder(MODEL).library
     got = {r.doc_id: r for r in sentencepiece_bpe.encode_documents(documents(spark, ODD), MODEL).collect()}
