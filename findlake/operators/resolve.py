@@ -79,7 +79,7 @@ def _from_roots(paths: DataFrame, roots: DataFrame, upwards: bool = True) -> Dat
     steps = roots.select("repo", "root_ord", parts.alias("parts"), depth.alias("depth"), F.explode(ups).alias("up"))
     steps = steps.select("repo", "root_ord", F.array_join(F.slice("parts", F.lit(1), F.col("depth") - F.col("up")), "/").alias("head"), F.repeat(F.lit("../"), F.col("up")).alias("climb"))
     steps = steps.groupBy("repo", "head", "climb", F.isnull("root_ord").alias("unordered")).agg(F.min("root_ord").alias("root_ord")).drop("unordered")
-    placed = paths.select("repo", "path").distinct().select("repo", "path", F.explode(F.concat(F.array(F.lit("")), ancestors(dirname(F.col("path"))))).alias("head")).distinct()
+    placed = paths.select("repo", "path").distinct().select("repo", "path", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), ancestors(dirname(F.col("path")))))).alias("head"))
     below = F.when(F.col("head") == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length("head") + 2, F.length("path")))
     return placed.join(steps, ["repo", "head"]).select("repo", "root_ord", F.concat("climb", below).alias("rel"), "path")
 
